@@ -24,9 +24,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from maskframe.plans import label_queries, metric_queries, raster_queries, selection_queries, source_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
