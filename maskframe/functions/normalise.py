@@ -108,10 +108,11 @@ def finite_or_zero(a: ColumnLike) -> Column:
 def integer_range_scale(a: ColumnLike, dtype: ColumnLike) -> Column:
     """By the bounds of the source type up to 16 bits; wider integers by their own range; floats as they are."""
     v, d = doubles(a), col(dtype)
+    between = lambda low, high: F.transform(v, lambda x: (x - low) / (high - low))
     out = F.when(d.startswith("float") | (d == "bool"), v)
     for name, (low, high) in INTEGER_BOUNDS.items():
         if name != "bool":
-            out = out.when(d == name, F.transform(v, lambda x, low=low, high=high: (x - low) / (high - low)))
+            out = out.when(d == name, between(low, high))
     return out.otherwise(unit_range(v))
 
 

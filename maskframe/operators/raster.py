@@ -10,11 +10,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from maskframe.functions import kernels
 from maskframe.functions.arrays import ColumnLike, col, doubles, sequence0
 
+DOUBLES = T.ArrayType(T.DoubleType())
+
 
 # -- geometry -------------------------------------------------------------------------------------------
 
@@ -68,7 +71,7 @@ def resample_1d(data: ColumnLike, size: int) -> Column:
 
 
 def _resized(height: int, width: int, how: str):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(DOUBLES)
     def run(data: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
         return pd.Series([None if d is None else np.clip(kernels.resize(np.asarray(d, float).reshape(a, b), height, width, how), 0, 1).ravel() for d, a, b in zip(data, h, w)])
 
@@ -130,7 +133,7 @@ def intrinsics(sdd: ColumnLike, delx: ColumnLike, dely: ColumnLike, x0: ColumnLi
 
 # -- filters -----------------------------------------------------------------------------------------------
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def _smooth(data: pd.Series, h: pd.Series, w: pd.Series, sigma: pd.Series, size: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else np.clip(kernels.gaussian(np.asarray(d, float).reshape(a, b), s, k), 0, 1).ravel() for d, a, b, s, k in zip(data, h, w, sigma, size)])
 
@@ -139,7 +142,7 @@ def smooth_labels(data: ColumnLike, height: ColumnLike, width: ColumnLike, sigma
     return _smooth(col(data), col(height), col(width), F.lit(float(sigma)), F.lit(size))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def _equalize(data: pd.Series, h: pd.Series, w: pd.Series, clip: pd.Series, gy: pd.Series, gx: pd.Series) -> pd.Series:
     return pd.Series([None if d is None else kernels.equalize_tiles(np.asarray(d, float).reshape(a, b), c, (y, x)).ravel() for d, a, b, c, y, x in zip(data, h, w, clip, gy, gx)])
 
@@ -164,7 +167,7 @@ def remove_near(data: ColumnLike, other: ColumnLike, width: ColumnLike, threshol
     return F.transform(a, lambda v, i: F.when((v > threshold) & ~near(i), 1.0).otherwise(0.0))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(DOUBLES)
 def _closest(mask: pd.Series, other: pd.Series, h: pd.Series, w: pd.Series, limit: pd.Series, relative: pd.Series) -> pd.Series:
     out = []
     for m, o, a, b, n, r in zip(mask, other, h, w, limit, relative):

@@ -1 +1,75 @@
 """Queries over stored samples and streams."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskframe.plans.catalog import query
+from maskframe.plans.tables import table
+from maskframe.sources import packages, records
+from maskframe.streaming import events
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder, or a temporary one on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskframe-")
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as samples: the customer decides the split, so subjects don't leak."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("sample_id"), F.col("o_custkey").cast("string").alias("subject_id"), F.when(F.col("o_custkey") % 5 == 0, "val").otherwise("train").alias("split"),
+        F.lit("orders").alias("dataset_name"), F.lit("xray").alias("modality"), F.concat(F.lit("image_"), F.col("o_orderkey")).alias("image"), F.array(F.col("o_orderstatus")).alias("label_names"),
+    )
+
+
+@query("package_roundtrip", "SELECT CASE WHEN o_custkey % 5 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n_samples, count(DISTINCT o_custkey) AS n_subjects FROM orders GROUP BY ALL")
+def package_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders packed, checked, moved in and inspected."""
+    path = f"{_folder(spark)}/package"
+    packages.write_package(_samples(spark, sf_dir), path, "orders")
+    return packages.inspect_package(spark, path)
+
+
+@query("record_issues", """SELECT o_custkey::VARCHAR AS key, 'subject in several splits' AS issue FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderpriority) > 1
+UNION ALL SELECT o_orderkey::VARCHAR, 'a required field is empty' FROM orders WHERE o_orderkey % 100 = 0 UNION ALL SELECT (o_orderkey // 2)::VARCHAR, 'sample_id stands twice' FROM orders GROUP BY o_orderkey // 2 HAVING count(*) > 1""")
+def record_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faulty samples: priorities as splits leak, halved keys repeat, every hundredth has no image."""
+    faulty = _samples(spark, sf_dir).withColumn("image", F.when(F.col("sample_id").cast("long") % 100 == 0, "").otherwise(F.col("image")))
+    splits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("sample_id"), F.col("o_orderpriority").alias("priority"))
+    faulty = faulty.join(splits, "sample_id").withColumn("split", F.col("priority")).drop("priority")
+    missing = records.record_issues(faulty).where("issue <> 'sample_id stands twice'")
+    halved = faulty.withColumn("sample_id", F.floor(F.col("sample_id").cast("long") / 2).cast("string"))
+    return missing.unionByName(records.record_issues(halved).where("issue = 'sample_id stands twice'"))
+
+
+@query("crop_metadata", """WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS q, embedding FROM embeddings), v AS (SELECT vec_id, CASE WHEN embedding[q + 1] > 0.15 THEN 2 WHEN embedding[q + 1] > 0.1 THEN 1 ELSE 0 END AS label FROM e)
+SELECT vec_id, string_agg(DISTINCT label::VARCHAR, ',' ORDER BY label::VARCHAR) FILTER (label > 0) AS ids, CASE WHEN max(label) = 0 THEN 'no labels' END AS issue FROM v GROUP BY ALL""")
+def crop_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted foreground ids of each volume, and what is wrong with its metadata."""
+    label = lambda x: F.when(x > 0.15, 2).when(x > 0.1, 1).otherwise(0)
+    ids = F.array_sort(F.filter(F.array_distinct(F.transform(F.col("embedding").cast("array<double>"), label)), lambda x: x > 0))
+    out = table(spark, sf_dir, "embeddings").select("vec_id", ids.alias("fg_label_ids"), F.transform(ids, lambda x: F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))).alias("fg_centroids"))
+    return out.select("vec_id", F.nullif(F.array_join(F.transform("fg_label_ids", lambda x: x.cast("string")), ","), F.lit("")).alias("ids"), records.crop_metadata_issue().alias("issue"))
+
+
+@query("stream_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily means of event types, computed as a stream and read back."""
+    # complete mode: the last windows are written without waiting for a later event
+    out = events.drain(events.windowed_means(events.read_events(spark, sf_dir)), _folder(spark), "complete")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+@query("stream_average", """WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, count(*) AS n, round(sum(value * power(0.98::DOUBLE, n - k) * CASE WHEN k = 1 THEN 1 ELSE 0.02 END), 6) AS shadow FROM v GROUP BY ALL""")
+def stream_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decayed averages of event types as streaming state."""
+    updates = events.drain(events.decayed_average(events.read_events(spark, sf_dir), 0.98), _folder(spark), "update")
+    return updates.groupBy("event_type").agg(F.max("n").alias("n"), F.round(F.max_by("shadow", "n"), 6).alias("shadow"))
