@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import normalise
 from maskframe.functions.arrays import doubles, total
-from maskframe.operators import raster
+from maskframe.operators import raster, sampling
 from maskframe.plans.catalog import query
 from maskframe.plans.tables import table
 
@@ -172,3 +172,45 @@ def merge_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of one label as views of one image, those with odd ids flipped."""
     views = table(spark, sf_dir, "embeddings").select(F.col("label").alias("image"), F.lit(0).alias("channel"), (F.col("vec_id") % 2 == 1).alias("flipped"), F.lit(8).alias("width"), doubles("embedding").alias("p"))
     return raster.merge_views(views).select("image", "pixel", F.round("p", 6).alias("p"))
+
+
+_U = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query("camera_poses", f"""WITH v AS (SELECT vec_id, unnest(range(0, 3)) AS k FROM embeddings),
+d AS (SELECT vec_id, k, -10 + 20 * ({_U.format("'7:' || vec_id || ':' || k || ':r0'")}) AS r0, 700 + 300 * ({_U.format("'7:' || vec_id || ':' || k || ':y'")}) AS y, 800 + 400 * ({_U.format("'7:' || vec_id || ':' || k || ':sdd'")}) AS s FROM v)
+SELECT vec_id AS sample_id, k::INT AS view_idx, round(r0, 6) AS rot0, round(least(y, s), 6) AS y, round(greatest(y, s), 6) AS sdd FROM d""")
+def camera_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three seeded views of each embedding; source distance and sdd sorted."""
+    views = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("view_idx"))
+    out = sampling.poses(views, [(-10.0, 10.0)] * 3, [(-5.0, 5.0), (700.0, 1000.0), (-5.0, 5.0)], (800.0, 1200.0), 7)
+    return out.select("sample_id", "view_idx", F.round(F.get("rot", F.lit(0)), 6).alias("rot0"), F.round(F.get("xyz", F.lit(1)), 6).alias("y"), F.round("sdd", 6).alias("sdd"))
+
+
+@query("isocenters", f"""WITH c AS (SELECT c_nationkey AS s, c_custkey AS l FROM customer WHERE c_custkey % 20 = 0), o AS (SELECT s, l, row_number() OVER (PARTITION BY s ORDER BY {_U.format("'3:' || s || ':' || l")}, l) - 1 AS rank, count(*) OVER (PARTITION BY s) AS n FROM c),
+v AS (SELECT DISTINCT s, n, unnest(range(0, 4)) AS k FROM o), w AS (SELECT s, k, CASE WHEN k < n THEN k ELSE floor(({_U.format("'3:' || s || ':' || k || ':again'")}) * n)::INT END AS rank FROM v)
+SELECT s::INT AS sample_id, k::INT AS view_idx, l AS label FROM w JOIN o USING (s, rank)""")
+def isocenters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four views of each nation, looking at its customers without replacement first."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("sample_id"), F.col("c_custkey").alias("label"), *(F.lit(0.0).alias(x) for x in "ijk"))
+    return sampling.sample_isocenters(c, 4, 3).select("sample_id", "view_idx", "label")
+
+
+@query("intensity_scale", f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, CASE WHEN ({_U.format("'9:' || vec_id || ':on'")}) < 0.5 THEN 1 - 0.2 + 0.4 * ({_U.format("'9:' || vec_id")}) ELSE 1 END AS f FROM embeddings) SELECT vec_id, round(sum(x * f), 6) AS total FROM e GROUP BY ALL""")
+def intensity_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total(sampling.intensity_scale("embedding", -0.2, 0.2, 0.5, 9, "vec_id")), 6).alias("total"))
+
+
+@query("aspect_crop", "WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS i, embedding FROM embeddings) SELECT vec_id, round(sum(embedding[i + 1]::DOUBLE), 6) AS total FROM e WHERE i // 8 >= 2 AND i // 8 < 6 AND i % 8 >= 1 AND i % 8 < 7 GROUP BY ALL")
+def aspect_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 images, cut to the middle 5 (even: 4) rows and 6 columns."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total(sampling.aspect_crop("embedding", F.lit(8), F.lit(8), F.lit(5), F.lit(6))), 6).alias("total"))
+
+
+@query("projection", """WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS q, embedding FROM embeddings), p AS (SELECT vec_id, q // 16 AS i, q % 4 AS k, sum(embedding[q + 1]::DOUBLE) AS v FROM e GROUP BY ALL),
+r AS (SELECT *, min(v) OVER (PARTITION BY vec_id) AS a, max(v) OVER (PARTITION BY vec_id) AS b FROM p) SELECT vec_id AS view, i::INT AS i, k::INT AS k, round((v - a) / greatest(b - a, 1e-6), 6) AS value FROM r""")
+def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 4 x 4 x 4 volumes, summed along the second axis and scaled."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.posexplode(doubles("embedding")).alias("q", "value"))
+    voxels = e.select("sample_id", F.floor(F.col("q") / 16).cast("int").alias("i"), (F.floor(F.col("q") / 4) % 4).alias("j"), (F.col("q") % 4).alias("k"), "value")
+    return sampling.scale_views(sampling.parallel_projection(voxels).withColumnRenamed("sample_id", "view")).withColumn("value", F.round("value", 6))
