@@ -5,10 +5,14 @@ order of rank, adds a gadget: every arc a is led to a copy of its target that la
 wherever a then b could be read, an arc c leads to the old target of b.  What the automaton then
 accepts are exactly the token sequences that byte-pair merging makes, one for each string.
 
-All arcs of one label have one target, and a copy differs from what it copies in one arc, so a
-state is kept as (state copied, arc taken away, rank of the merge) and the table of targets has
-one entry a label: the automaton is as large as the list of merges.  Whether a state has an arc
-is read by walking that record, and remembered.
+All arcs of one label have one target, so a state is named by the label last read.  Its arcs are
+kept as the record of the gadgets: the copies made for label a lack one label each, from the rank
+of that gadget on, and before c there was, as of the rank of its gadget, the state of b.  So the
+whole automaton is a table of merges (what may not follow, and since when) with the left and right
+part of every label, as large as the list of merges; ``has_arc`` reads it.
+
+Words are strings of bytes, a word-end mark being the byte 0xFF, which no UTF-8 text has.  At each
+place of a word exactly one state is live, and its arcs lead on to later places.
 """
 
 from __future__ import annotations
@@ -17,11 +21,17 @@ import json
 import sys
 import unicodedata
 
+import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-END = ""  #: stands for the word-end mark of a vocabulary, as one symbol
-_REMEMBERED = 2_000_000
+END = b"\xff"
+#: Longer words go one by one, shorter ones in batches of about so many bytes.
+LONG = 64
+BATCH_BYTES = 400_000
+_SLOTS = 1 << 20
+_REMEMBERED = 100_000
+_NEVER = 1 << 60
 
 
 def byte_letters() -> dict[int, str]:
@@ -32,109 +42,183 @@ def byte_letters() -> dict[int, str]:
 
 
 class Automaton:
-    """Targets and arcs of a merge list; tokens are strings of symbols."""
-
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.ids = dict(vocab)
-        self.left: dict[str, str] = {}
-        self.rank: dict[str, int] = {}
-        made = {a + b for a, b in merges}
-        self.target = {t: 0 for t in vocab if t not in made}
-        self.copied, self.without, self.made_at = [0], [""], [-1]
-        self._arc: dict[tuple[int, str], bool] = {}
+    """Arcs of a merge list; tokens are byte strings, states are the ids of the tokens last read (-1: none)."""
+
+    def __init__(self, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
+        self.ids = ids
+        self.token = {i: t for t, i in ids.items()}
+        n = max(ids.values()) + 1
+        self.rank, self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
+        self.after: dict[tuple[int, int], int] = {}
         for k, (a, b) in enumerate(merges):
-            c = a + b
-            old = self.target[a]
-            if c in self.target or not self.has_arc(old, b):
-                continue  # no text ever has this merge
-            onward = self.target[b]
-            self.copied.append(old)
-            self.without.append(b)
-            self.made_at.append(k)
-            self.target[a] = len(self.copied) - 1
-            self.target[c] = onward
-            self.left[c], self.rank[c] = a, k
-        self._arc.clear()
-        self.heads = {t[:k] for t in self.target for k in range(1, len(t) + 1)}
-
-    def has_arc(self, state: int, token: str) -> bool:
+            c = ids[a + b]
+            self.rank[c], self.left[c], self.right[c] = k, ids[a], ids[b]
+            self.after[ids[a], ids[b]] = k
+        self._keys = np.array(sorted((a << 32) | b for a, b in self.after), np.int64)
+        self._since = np.array([self.after[int(k) >> 32, int(k) & 0xFFFFFFFF] for k in self._keys], np.int64)
+        merged = np.flatnonzero(self.rank >= 0)
+        made = self.has_arcs(self.left[merged], self.right[merged], self.rank[merged])  # a merge that no text ever has makes no token
+        self.usable = {t: i for t, i in ids.items()}
+        for i in merged[~made]:
+            del self.usable[self.token[int(i)]]
+        self._lists = self.rank.tolist(), self.left.tolist(), self.right.tolist()
+        self._known: dict[tuple[int, int], bool] = {}
+        self.heads = {t[:k] for t in self.usable for k in range(1, len(t) + 1)}
+        self._build_trie()
+        self._slot_key, self._slot = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, bool)
+
+    def _build_trie(self) -> None:
+        """Tokens by their bytes: a row of 256 next nodes for each node that has any."""
+        number = {h: k for k, h in enumerate(sorted(self.heads), 1)}
+        self._token_at = np.full(len(number) + 1, -1, np.int64)
+        for t, i in self.usable.items():
+            self._token_at[number[t]] = i
+        parents = sorted({number.get(h[:-1], 0) for h in self.heads})
+        self._row = np.full(len(number) + 1, -1, np.int64)
+        self._row[parents] = np.arange(len(parents))
+        self._next = np.full(len(parents) * 256, -1, np.int32)
+        for h, k in number.items():
+            self._next[self._row[number.get(h[:-1], 0)] * 256 + h[-1]] = k
+
+    def has_arc(self, state: int, token: int) -> bool:
         """Whether ``token`` may follow in this state."""
-        left, rank, copied, without, made_at = self.left, self.rank, self.copied, self.without, self.made_at
-        while state:
-            if token == without[state]:
+        rank, left, right = self._lists
+        as_of = _NEVER
+        while True:
+            if self.after.get((state, token), as_of) < as_of:
                 return False
-            if rank.get(token, -1) >= made_at[state]:
-                token = left[token]  # the arc came with or after the state, to states that had its left part
+            if rank[token] > rank[state]:  # the arc came with or after the state, where its left part could be read
+                as_of, token = min(as_of, rank[token] + 1), left[token]
+            elif rank[state] >= 0:
+                as_of, state = rank[state], right[state]
             else:
-                state = copied[state]
-        return True
-
-    def follows(self, state: int, token: str) -> bool:
-        """``has_arc``, from the table of transitions filled so far."""
-        key = (state, token)
-        found = self._arc.get(key)
-        if found is None:
-            if len(self._arc) >= _REMEMBERED:
-                self._arc.clear()
-            found = self._arc[key] = self.has_arc(state, token)
-        return found
-
-    def encode(self, word: str) -> list[str]:
-        """The labels of the one accepted path that spells ``word``.
-
-        At each place the longest label with an arc is taken; a place from which the end can't be
-        reached is not entered again, so the work is linear in the word.
-        """
-        n, target, heads, follows = len(word), self.target, self.heads, self.follows
-        path: list[str] = []
-        at, state, dead = 0, 0, set()
-        options: list[list[str]] = []
-        while at < n:
-            if len(options) == len(path):
-                found, j = [], at + 1
-                while j <= n and (part := word[at:j]) in heads:
-                    if part in target:
-                        found.append(part)
-                    j += 1
-                options.append(found)
-            left = options[-1]
-            while left:
-                token = left.pop()
-                if at + len(token) not in dead and follows(state, token):
-                    path.append(token)
-                    at += len(token)
-                    state = target[token]
-                    break
-            else:
-                if not path:
-                    raise ValueError(f"symbols outside the vocabulary: {word!r}")
-                options.pop()
-                dead.add(at)
-                at -= len(path.pop())
-                state = target[path[-1]] if path else 0
-        return path
-
-    def prefix_counts(self, word: str) -> list[int]:
-        """Tokens of every prefix of ``word``, from the empty one on.
-
-        The last token of a prefix and the prefix before it decide each other: of the tokens that
-        end there, one has an arc from the state that its own prefix ends in.
-        """
-        n, target, heads, arcs = len(word), self.target, self.heads, self._arc
-        count, state = [0] * (n + 1), [0] * (n + 1)
+                return True
+
+    def has_arcs(self, states: np.ndarray, tokens: np.ndarray, as_of: np.ndarray | None = None) -> np.ndarray:
+        """``has_arc`` for many at once."""
+        out = np.ones(len(states), bool)
+        live, x, u = np.arange(len(states)), states, tokens
+        as_of = np.full(len(states), _NEVER) if as_of is None else as_of
+        while len(live):
+            key = (x << 32) | u
+            at = np.searchsorted(self._keys, key)
+            at[at == len(self._keys)] = 0
+            cut = (self._keys[at] == key) & (self._since[at] < as_of) if len(self._keys) else np.zeros(len(live), bool)
+            out[live[cut]] = False
+            rx, ru = self.rank[x], self.rank[u]
+            go = ~cut & ((rx >= 0) | (ru >= 0))
+            live, x, u, as_of, rx, ru = live[go], x[go], u[go], as_of[go], rx[go], ru[go]
+            newer = ru > rx
+            as_of = np.where(newer, np.minimum(as_of, ru + 1), rx)
+            x, u = np.where(newer, x, self.right[x]), np.where(newer, self.left[u], u)
+        return out
+
+    def _follow(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """``has_arcs`` through a table of transitions filled so far (of fixed size, new ones replace old ones)."""
+        key = (states << 32) | tokens
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        new = np.flatnonzero(self._slot_key[slot] != key)
+        out = self._slot[slot]
+        if len(new):
+            out[new] = found = self.has_arcs(states[new], tokens[new])
+            self._slot_key[slot[new]], self._slot[slot[new]] = key[new], found
+            # two keys of this call can share a slot: the last one has it, with its own answer
+        return out
+
+    def prefixes(self, word: bytes) -> tuple[list[int], list[int]]:
+        """For every prefix of a word the number of its tokens, and the last of them."""
+        n, usable, heads, known = len(word), self.usable, self.heads, self._known
+        count, state = [0] * (n + 1), [-1] * (n + 1)
         for i in range(n):
             here, more, j = state[i], count[i] + 1, i + 1
+            if i and here < 0:
+                continue  # inside a base symbol
             while (part := word[i:j]) in heads:
-                if part in target:
-                    ok = arcs.get((here, part))
+                token = usable.get(part)
+                if token is not None:
+                    ok = here < 0 or known.get((here, token))
                     if ok is None:
-                        ok = self.follows(here, part)
+                        if len(known) >= _REMEMBERED:
+                            known.clear()
+                        ok = known[here, token] = self.has_arc(here, token)
                     if ok:
-                        count[j], state[j] = more, target[part]
+                        count[j], state[j] = more, token
                 if j == n:
                     break
                 j += 1
-        return count
+        return count, state
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Tokens of each word: the labels of the one accepted path that spells it."""
+        out: list[list[int]] = [[]] * len(words)
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= LONG]
+        lo = 0
+        while lo < len(short):
+            hi, size = lo, 0
+            while hi < len(short) and size < BATCH_BYTES:
+                size += len(words[short[hi]])
+                hi += 1
+            part = short[lo:hi]
+            for k, path in zip(part, self._encode_batch([words[k] for k in part])):
+                out[k] = path
+            lo = hi
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                state, at, path = self.prefixes(w)[1], len(w), []
+                while at:
+                    path.append(state[at])
+                    at -= len(self.token[state[at]])
+                out[k] = path[::-1]
+        return out
+
+    def counts(self, words: list[bytes]) -> list[int]:
+        """Tokens of each word."""
+        return [len(path) for path in self.encode(words)]
+
+    def _encode_batch(self, words: list[bytes]) -> list[list[int]]:
+        lengths = np.array([len(w) for w in words])
+        order = np.argsort(-lengths, kind="stable")
+        data = np.frombuffer(b"".join([words[k] for k in order]), np.uint8)
+        many = lengths[order]
+        first = np.cumsum(many) - many
+        place = first + np.arange(len(many))  # of prefix 0 of each word; prefix i is i further on
+        state, size = np.full(len(data) + len(many), -1, np.int64), np.zeros(len(data) + len(many), np.int64)
+        for i in range(int(many[0])):
+            m = int(np.searchsorted(-many, -i, "left"))  # words longer than i
+            live = np.arange(m)
+            here = state[place[:m] + i]
+            if i:
+                live = live[here >= 0]
+            row, d = np.zeros(len(live), np.int64), i
+            while len(live):
+                node = self._next[row * 256 + data[first[live] + d]]
+                go = node >= 0
+                live, node = live[go], node[go]
+                d += 1
+                token = self._token_at[node]
+                is_token = token >= 0
+                at, token = live[is_token], token[is_token]
+                if i and len(at):
+                    ok = self._follow(here[at], token)
+                    at, token = at[ok], token[ok]
+                state[place[at] + d], size[place[at] + d] = token, d - i
+                row = self._row[node]
+                on = (row >= 0) & (many[live] > d)
+                live, row = live[on], row[on]
+        # read the paths back, all words at once
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        live, at = np.arange(len(many)), many.copy()
+        while len(live):
+            p = place[live] + at
+            found.append((live, state[p]))
+            at = at - size[p]
+            on = at > 0
+            live, at = live[on], at[on]
+        out: list[list[int]] = [[] for _ in words]
+        for live, token in reversed(found):
+            for k, t in zip(order[live].tolist(), token.tolist()):
+                out[k].append(t)
+        return out
 
 
 def _newer_letters(spec: dict) -> str:
@@ -156,15 +240,20 @@ class Vocabulary:
     def __init__(self, content: str):
         spec = json.loads(content)
         model = spec["model"]
-        mark = model.get("end_of_word_suffix") or ""
-        symbol = (lambda t: t[: -len(mark)] + END if mark and t.endswith(mark) else t)
+        self.mark = model.get("end_of_word_suffix") or ""
+        self.end = END if self.mark else b""
+        byte = {c: b for b, c in byte_letters().items()}
+
+        def symbols(token: str) -> bytes:
+            ended = bool(self.mark) and token.endswith(self.mark)
+            return bytes([byte[c] for c in (token[: -len(self.mark)] if ended else token)]) + END * ended
+
         pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.mark, self.end = mark, END if mark else ""
-        self.automaton = Automaton({symbol(t): i for t, i in model["vocab"].items()}, [(symbol(a), symbol(b)) for a, b in pairs])
+        ids = {symbols(t): i for t, i in model["vocab"].items() if not self.mark or t != byte_letters()[255]}
+        self.automaton = Automaton(ids, [(symbols(a), symbols(b)) for a, b in pairs])
+        self.label = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.letters = byte_letters()
-        self.table = {b: c for b, c in self.letters.items()}
         steps = (spec.get("normalizer") or {}).get("normalizers", [])
         self.kinds = [s["type"] for s in steps]
         splits = [s for s in (spec["pre_tokenizer"].get("pretokenizers") or [spec["pre_tokenizer"]]) if s["type"] == "Split"]
@@ -183,9 +272,9 @@ class Vocabulary:
             text = text.lower() if "Σ" not in text else "".join([c.lower() for c in text])  # no final sigma
         return text
 
-    def symbols(self, word: str) -> str:
-        """A split word as symbols of the automaton."""
-        return word.encode("utf-8").decode("latin-1").translate(self.table) + self.end
+    def symbols(self, word: str) -> bytes:
+        """A split word as bytes, with the end mark if the vocabulary has one."""
+        return word.encode("utf-8", "surrogatepass") + self.end
 
     def parts(self, text: str):
         """(plain text, None) and (special string, its id) in order."""

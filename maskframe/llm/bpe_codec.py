@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm.bpe import END, Vocabulary, vocabulary
-from maskframe.llm.common import documents, map_arrow
+from maskframe.llm.bpe import Vocabulary, vocabulary
+from maskframe.llm.common import documents, map_arrow, text_groups
 
 VOCABULARY = "word_bpe_49k.json"
 #: Encoded words each Python worker remembers; then it forgets all of them.
 REMEMBERED = 300_000
-_PIECES = 4096
+#: Characters of texts that are split and encoded together.
+GROUP_CHARS = 2_000_000
 
 
 class Codec:
@@ -28,56 +29,59 @@ class Codec:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        ids = vocab.automaton.ids
-        self.label = {i: t.replace(END, vocab.mark) if vocab.mark else t for t, i in ids.items()} | {i: t for t, i in vocab.special.items()}
-        self._word: dict[str, tuple[int, str, str]] = {}
-
-    def _encode_word(self, word: str) -> tuple[int, str, str]:
-        if len(self._word) >= REMEMBERED:
-            self._word.clear()
-        path = self.vocab.automaton.encode(self.vocab.symbols(word))
-        ids = [self.vocab.automaton.ids[t] for t in path]
-        found = self._word[word] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; special strings in it become their own ids."""
-        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split(" ")]
+        self.label = vocab.label | {i: t for t, i in vocab.special.items()}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._n: dict[str, int] = {}
+        self._ids: dict[str, str] = {}
+        self._labels: dict[str, str] = {}
+
+    def learn(self, words: set[str]) -> None:
+        """Encode the words that are not known yet, all together."""
+        new = list(words - self._n.keys())
+        if len(self._n) + len(new) > REMEMBERED:
+            self._forget()
+            new = list(words)
+        symbols, label = self.vocab.symbols, self.vocab.label
+        for word, path in zip(new, self.vocab.automaton.encode([symbols(w) for w in new])):
+            self._n[word] = len(path)
+            self._ids[word] = " ".join([str(i) for i in path])
+            self._labels[word] = " ".join([label[i] for i in path])
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the ids, parted by spaces as the vocabulary has no decoder of its own."""
         return " ".join([self.label[i] for i in ids])
 
-    def pieces(self, text: str) -> Iterator[tuple[int, str, str]]:
-        """(number of tokens, ids, labels) of each word in order, ids and labels parted by spaces."""
-        known, encode = self._word, self._encode_word
-        for part, special in self.vocab.parts(text):
-            if special is not None:
-                yield 1, str(special), part
-            else:
-                for word in self.vocab.words(part):
-                    yield known.get(word) or encode(word)
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids and SHA-256 of the decoded text."""
-        n, ids, decoded, rest = 0, hashlib.sha256(), hashlib.sha256(), []
-        space = b""
-
-        def flush() -> None:
-            nonlocal n, space
-            n += sum([p[0] for p in rest])
-            ids.update(space + " ".join([p[1] for p in rest]).encode())
-            decoded.update(space + " ".join([p[2] for p in rest]).encode())
-            space = b" "
-            rest.clear()
-
-        for piece in self.pieces(text):
-            rest.append(piece)
-            if len(rest) >= _PIECES:
-                flush()
-        if rest:
-            flush()
-        return n, ids.hexdigest(), decoded.hexdigest()
+    def split(self, text: str) -> list[tuple[list[str] | None, str]]:
+        """The text's parts: (words, "") or (None, special string)."""
+        return [(None, part) if special is not None else (self.vocab.words(part), "") for part, special in self.vocab.parts(text)]
+
+    def pieces(self, texts: list[str]) -> Iterator[tuple[int, list[str], list[str]]]:
+        """For each text its number of tokens, and ids and labels of its words."""
+        split = [self.split(t) for t in texts]
+        self.learn({w for parts in split for words, _ in parts if words for w in words})
+        for parts in split:
+            n, ids, labels = 0, [], []
+            for words, special in parts:
+                if words is None:
+                    n += 1
+                    ids.append(str(self.vocab.special[special]))
+                    labels.append(special)
+                else:
+                    n += sum(map(self._n.__getitem__, words))
+                    ids += map(self._ids.__getitem__, words)
+                    labels += map(self._labels.__getitem__, words)
+            yield n, ids, labels
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text; special strings in it become their own ids."""
+        return [int(i) for _, ids, _ in self.pieces([text]) for word in ids for i in word.split(" ")]
+
+    def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Number of tokens, SHA-256 of the ids and SHA-256 of the decoded text, of each text."""
+        for n, ids, labels in self.pieces(texts):
+            yield n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(labels).encode()).hexdigest()
 
 
 _codec: list[Codec] = []
@@ -104,11 +108,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c = codec(content.value)
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            found = list(zip(*(c.digest(t) for t in texts)))
-            out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(found[0], pa.int64()), "ids_sha256": pa.array(found[1]), "decoded_sha256": pa.array(found[2])}
+        for part, texts in text_groups(batch, GROUP_CHARS):
+            n, ids_sha256, decoded_sha256 = zip(*c.digests(texts))
+            out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha256), "decoded_sha256": pa.array(decoded_sha256)}
             if keep_ids:
                 ids = [c.encode(t) for t in texts]
                 out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([c.decode(i) for i in ids], pa.string())}

@@ -8,6 +8,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Bytes of one Arrow batch between Spark and Python.
+BATCH_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """``function`` turns each record batch into dicts of column values, by ``schema``."""
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``function`` turns each record batch into batches of ``schema``.
+
+    The session's batches are brought down to BATCH_BYTES: texts differ in length a thousandfold,
+    so a number of rows does not bound a batch.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,5 +50,18 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[dict]
     return df.mapInArrow(run, schema)
 
 
+def text_groups(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with about so many characters of text, or one longer document; nulls as empty texts."""
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    lo = size = 0
+    for k, t in enumerate(texts):
+        if k > lo and size + len(t) > chars:
+            yield batch.slice(lo, k - lo), texts[lo:k]
+            lo, size = k, 0
+        size += len(t)
+    if lo < len(texts):
+        yield batch.slice(lo), texts[lo:]
+
+
 def crc32_mod3(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3

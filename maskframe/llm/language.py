@@ -106,6 +106,9 @@ def gradients(model: Model, x: np.ndarray, lengths: np.ndarray, y: np.ndarray) -
 def train(texts: list[str], labels: list[str], hidden: int = HIDDEN, steps: int = STEPS, seed: int = 7) -> Model:
     """A model of the words of ``texts``; every language is drawn equally often."""
     langs = tuple(sorted(set(labels)))
+    if not langs:
+        none = np.zeros((0, 0), np.float32)
+        return Model((none, none), (none, none), none, none, ())
     rng = np.random.default_rng(seed)
     words = {lang: sorted({w[:_TRAIN_BYTES] for t, label in zip(texts, labels) if label == lang for w in t.encode().split()}) for lang in langs}
     pools = []
@@ -225,11 +228,14 @@ def fit_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     """A model of a sample of the labelled rows whose crc32(doc_id as text) mod 3 is not 1.
 
     The sample is at most ``sample_docs`` rows, the first by a hash of the id, with ``sample_chars``
-    characters of each from a place the hash decides; that is all the driver gets.
+    characters of each from a place the hash decides.  A bound on the hash leaves about three times
+    as many candidates, so that is about all that tasks send to the driver, however many they are.
     """
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod3("doc_id") != 1))
     order = F.xxhash64("doc_id", F.lit(11))
     start = F.lit(1) + F.pmod(order, F.greatest(F.length("text") - sample_chars, F.lit(1)).cast("long")).cast("int")
+    share = min(1.0, 3 * sample_docs / max(1, mine.select("doc_id", "lang").count()))
+    mine = mine.where(F.pmod(order, F.lit(1 << 40)) < int(share * (1 << 40)))
     rows = mine.select(order.alias("o"), F.substring("text", start, F.lit(sample_chars)).alias("t"), "lang").orderBy("o", "t", "lang").limit(sample_docs).collect()
     return train([r["t"] for r in rows], [r["lang"] for r in rows])
 

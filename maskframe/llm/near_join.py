@@ -232,10 +232,29 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     All columns are kept.  Of repeated rows (same doc_id and text) one stays.  Rows without doc_id stay.
     """
-    keep = jaccard_classes(docs).where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    left = docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep")).drop("__keep")
-    return left.dropDuplicates().unionByName(docs.where("doc_id is null"))
+    first = F.col("doc_id") == F.col("class_id")
+    keep = cut(jaccard_classes(docs).where(first).groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__rows")))
+    left = docs.join(keep, F.col("doc_id").cast("long") == F.col("__keep"))
+    if keep.where("__rows > 1").limit(1).count():  # repeated rows are rare: only then are whole rows compared
+        once, again = left.where("__rows = 1"), left.where("__rows > 1").dropDuplicates()
+        left = once.unionByName(again)
+    return left.drop("__keep", "__rows").unionByName(docs.where("doc_id is null"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
+
+
+OP1_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, md5(text) AS m, regexp_extract_all(lower(text), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, w[i:i + {SHINGLE - 1}] AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {SHINGLE - 2}))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE o >= {THRESHOLD} * (p.n + q.n - o) - 1e-6),
+r(a, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a),
+c AS (SELECT a, min(root) AS class_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+m AS (SELECT doc_id, count(*) OVER (PARTITION BY m) AS n_copies FROM w WHERE len(w) > 0)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM documents JOIN c ON c.a = doc_id LEFT JOIN k ON k.a = doc_id LEFT JOIN m USING (doc_id)
+"""

@@ -159,3 +159,28 @@ def without_lines(text: str = "text", removed: str = "removed_lines") -> Column:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("removed_lines")
+
+
+_W = r"[^\x20\x09-\x0D]+"
+OP7_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{_W}') AS w FROM d),
+c AS (SELECT rid, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+i AS (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
+k AS (SELECT rid, i, w[i:i + 4] AS k FROM i),
+r AS (SELECT rid, i FROM k QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+p AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM r, (SELECT unnest(range(0, 5)) AS j) GROUP BY rid),
+l AS (SELECT rid, doc_id, host, t, unnest(string_split(t, chr(10))) AS raw FROM d),
+n AS (SELECT *, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_W}') AS lw FROM l WHERE regexp_matches(raw, '{_W}')),
+u AS (SELECT rid, count(*) - count(DISTINCT raw) AS n_dup_lines FROM n GROUP BY rid),
+h AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY host),
+f AS (SELECT host, lw, count(DISTINCT t) AS n, min(doc_id) AS first_id FROM n GROUP BY ALL),
+q AS (SELECT host, lw, first_id FROM f JOIN h USING (host) WHERE n > {MIN_LIMIT} AND n > {HOST_SHARE} * texts),
+x AS (SELECT rid, sum(len(lw)) AS removed FROM n JOIN q USING (host, lw) WHERE doc_id IS DISTINCT FROM first_id GROUP BY rid),
+a AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, removed, n_words - coalesce(removed, 0) AS n_left_words
+  FROM d JOIN c USING (rid) LEFT JOIN p USING (rid) LEFT JOIN u USING (rid) LEFT JOIN x USING (rid)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (removed IS NOT NULL AND (n_left_words < {MIN_WORDS} OR n_left_words < {MIN_LEFT} * n_words)) AS kept, n_left_words::BIGINT AS n_left_words
+FROM b
+"""

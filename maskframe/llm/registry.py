@@ -10,8 +10,8 @@ from maskframe.llm.bpe_codec import op8_bpe_codec
 from maskframe.llm.decontaminate import op4_benchmark_decontamination
 from maskframe.llm.language import op5_language_id
 from maskframe.llm.licenses import op6_license_scans
-from maskframe.llm.near_join import op1_ngram_jaccard_join
-from maskframe.llm.quality import op7_quality_rules
+from maskframe.llm.near_join import OP1_SQL, op1_ngram_jaccard_join
+from maskframe.llm.quality import OP7_SQL, op7_quality_rules
 from maskframe.llm.secrets import op3_secret_scans
 from maskframe.llm.sharding import op10_sharding
 from maskframe.llm.token_counts import op2_token_counts
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filters": OP9_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op7_quality_rules": OP7_SQL, "op9_url_filters": OP9_SQL}

@@ -48,11 +48,10 @@ def rebalance(current: list[tuple[int, int, int, int]], slot_bytes: dict[int, in
     filled = {s: sum(size[v] for v in held[s]) for s in held}
     mean = sum(size.values()) / shards
     for shard in held:
-        for slot in sorted(held[shard], key=lambda v: (size[v], v)):
-            if filled[shard] - size[slot] < mean:
-                break
-            homeless.append(slot)
-            filled[shard] -= size[slot]
+        for slot in sorted(held[shard], key=lambda v: (-size[v], v)):  # large ones first: few move
+            if size[slot] and filled[shard] - size[slot] >= mean:
+                homeless.append(slot)
+                filled[shard] -= size[slot]
     heap = [(filled[s], s) for s in held]
     heapq.heapify(heap)
     for slot in sorted(homeless, key=lambda v: (-size[v], v)):

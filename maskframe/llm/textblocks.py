@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -44,7 +45,7 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of a string column; a null counts as an empty text."""
     if column.null_count:
-        column = pa.compute.fill_null(column, "")
+        column = pc.fill_null(column, "")
     data, at = _buffers(column)
     n, lo = len(at) - 1, 0
     while lo < n:

@@ -7,6 +7,7 @@ limit, and where to cut it to fit a budget, all without encoding anything again.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -15,12 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.llm.bpe import Vocabulary, vocabulary
-from maskframe.llm.common import documents, map_arrow
+from maskframe.llm.common import documents, map_arrow, text_groups
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Words of which each Python worker remembers the count; then it forgets all of them.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
+#: Characters of texts that are split and counted together.
+GROUP_CHARS = 2_000_000
 
 
 class _Counts(dict):
@@ -30,10 +33,19 @@ class _Counts(dict):
         super().__init__()
         self.vocab = vocab
 
+    def learn(self, words: set[str]) -> None:
+        """Count the words that are not known yet, all together."""
+        new = list(words - self.keys())
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = list(words)
+        symbols = self.vocab.symbols
+        self.update(zip(new, self.vocab.automaton.counts([symbols(w) for w in new])))
+
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        n = self[word] = self.vocab.automaton.prefix_counts(self.vocab.symbols(word))[-1]
+        n = self[word] = self.vocab.automaton.prefixes(self.vocab.symbols(word))[0][-1]
         return n
 
 
@@ -44,19 +56,23 @@ class TokenCounter:
         self.vocab = vocab
         self.of_word = _Counts(vocab)
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts; new words of all of them are counted together."""
+        split = [[(None, part) if special is not None else (self.vocab.words(part), "") for part, special in self.vocab.parts(t)] for t in texts]
+        self.of_word.learn({w for parts in split for words, _ in parts if words for w in words})
+        get = self.of_word.__getitem__
+        return [sum([1 if words is None else sum(map(get, words)) for words, _ in parts]) for parts in split]
+
     def count(self, text: str) -> int:
-        """Tokens of the whole text."""
-        get, n = self.of_word.__getitem__, 0
-        for part, special in self.vocab.parts(text):
-            n += 1 if special is not None else sum(map(get, self.vocab.words(part)))
-        return n
+        """Tokens of one whole text, its new words one by one."""
+        return sum([1 if special is not None else sum(map(self.of_word.__getitem__, self.vocab.words(part))) for part, special in self.vocab.parts(text)])
 
     def _plain(self, text: str) -> list[int]:
         """Tokens of each prefix (in characters) of a text whose special strings are plain text."""
         out, at, base = [0], 0, 0  # base: tokens of the words before the current one
         run = run_base = 0  # where the white space before a place began, and the tokens up to there
         for word in self.vocab.words(text):
-            counts = self.vocab.automaton.prefix_counts(self.vocab.symbols(word))
+            counts = self.vocab.automaton.prefixes(self.vocab.symbols(word))[0]
             byte = 0
             for k, c in enumerate(word, 1):
                 byte += len(c.encode())
@@ -98,37 +114,38 @@ class TokenCounter:
         Walks words until the budget is passed and looks at single prefixes only around there.
         """
         at = used = 0
+        end, before = len(text), [(0, 0)]  # before: places between words, and the tokens up to there
         for part, special in self.vocab.parts(text):
-            if special is not None:
-                if used + 1 > budget:
-                    break
-                at, used = at + len(part), used + 1
-                continue
-            words = self.vocab.words(part)
-            over = False
-            for word in words:
-                n = self.of_word[word]
+            start = at
+            for word in [part] if special is not None else map(_MATCHED, self.vocab.pattern.finditer(part)):
+                n = 1 if special is not None else self.of_word[word]
                 if used + n > budget:
-                    over = True
+                    end = at + len(word)
                     break
                 at, used = at + len(word), used + n
-            if over:
-                break
+                before.append((at, used))
+            else:
+                continue
+            break
         else:
             return len(text)
-        while at and text[at - 1].isspace() and at < len(text):  # the white space that the next word goes on with
-            at -= 1
-        used = self.count(text[:at])
-        end = at
-        region = text[at : at + 64]
+        while before[-1][0] > start and text[before[-1][0] - 1].isspace():  # white space that the word goes on with
+            before.pop()
+        if special is not None:  # cut short it is plain text, part of what stands before it
+            while before[-1][0]:
+                before.pop()
+        at, used = before[-1]
+        while end < len(text) and text[end].isspace():
+            end += 1
         while True:
-            counts = self.prefix_counts(region)
-            end = max(k for k, n in enumerate(counts) if used + n <= budget)
-            if end < len(region) - 40 or at + len(region) >= len(text):
-                return at + end
-            region = text[at : at + 2 * len(region)]
+            counts = self.prefix_counts(text[at:end])
+            best = max(k for k, n in enumerate(counts) if used + n <= budget)
+            if best < end - at or end == len(text):
+                return at + best
+            end = min(len(text), end + 64)
 
 
+_MATCHED = operator.methodcaller("group")
 _counter: list[TokenCounter] = []
 
 
@@ -154,10 +171,8 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         c = counter(content.value)
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            n = [c.count(t) for t in texts]
+        for part, texts in text_groups(batch, GROUP_CHARS):
+            n = c.counts(texts)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column("doc_id"), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()),
                 "over_limit": pa.array([k > limit for k in n]), "fit_chars": pa.array([c.fit(t, limit) if k > limit else len(t) for t, k in zip(texts, n)], pa.int64()),
