@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is two grouped minima and joins over the edge list, so no task ever holds the
-neighbours of a node, and the rounds grow with the logarithm of the longest path, not its length.
+Each round is two grouped minima and joins over the edge list, and the rounds grow with the
+logarithm of the longest path, not its length.  The minima combine on the map side.  They are cut
+before they are joined: adaptive execution splits a node with very many neighbours only where both
+sides of the join are plain exchanges, not where one is an aggregate of the same exchange.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (the larger, or else the smaller ones and itself) move to its smallest neighbour."""
     if large:
         near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         moved = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(down.groupBy("a").agg(F.min("b").alias("m")))
         moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return moved.where("a <> b").distinct()
 
@@ -34,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("a", "b").where("a <> b").distinct())
     state = _state(edges)
     while True:
-        edges = cut(_star(_star(edges, large=True), large=False))
+        edges = cut(_star(cut(_star(edges, large=True)), large=False))
         state, before = _state(edges), state
         if state == before:
             break

@@ -200,7 +200,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"))
 
     below = some.groupBy("node").agg(F.first("prefixes").alias("prefixes")).select("node", F.explode("prefixes").alias("prefix"))
-    shared = below.groupBy("prefix").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("prefix", "b")
+    # cut as in components: a trie node, class or text with very many rows is then split by the join
+    shared = cut(below.groupBy("prefix").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("prefix", "b"))
     clusters = components(below.join(shared, "prefix").select(F.col("node").alias("a"), "b"))
 
     members = clusters.select("node", F.col("root").alias("cluster")).join(nodes, "node")
@@ -220,9 +221,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
 
     links = checked.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     roots = components(checked)
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    by_node = rooted.join(ids, "root").join(links, "node", "left").select("node", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    rooted = cut(nodes.join(roots, "node", "left").select("node", "first_id", "copies", F.coalesce("root", "node").alias("root")))
+    ids = cut(rooted.groupBy("root").agg(F.min("first_id").alias("class_id")))
+    by_node = cut(rooted.join(ids, "root").join(links, "node", "left").select("node", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links")))
     plain = signed.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return some.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")).unionByName(plain)
 

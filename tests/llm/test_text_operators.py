@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from maskframe.llm import bpe, bpe_codec, components, decontaminate, language, licenses, near_join, quality, secrets, sharding, textblocks, token_counts, url_filters
+from maskframe.llm import bpe, bpe_codec, common, components, decontaminate, language, licenses, near_join, quality, secrets, sharding, textblocks, token_counts, url_filters
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -204,6 +204,24 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_split_hot_nodes(spark):
+    """The join of a node with a third of all edges is split, on either star."""
+    held = {"autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "16k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "shuffle.partitions": "16"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in held}
+    for k, v in held.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        for large in (True, False):
+            hot = "if(id < 10000, -1, id)" if large else "if(id < 10000, 100000, id)"
+            edges = common.cut(spark.range(0, 30_000, 1, 8).selectExpr(f"{hot} AS a", "id + 1 AS b" if large else "id - 10000 AS b"))
+            moved = components._star(edges, large).groupBy().count()
+            assert moved.collect()[0][0] >= 20_000
+            assert "skew=true" in moved._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 # -- 2 and 8 tokens ----------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
