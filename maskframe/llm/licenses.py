@@ -1,17 +1,18 @@
 """License scans by a positional index of rare words.
 
 Licence texts are kept as templates: the places of their words, function words left out.  One
-pass over the documents finds where licence words stand.  Counting documents by word gives each
-word's IDF, and then for each document its words of highest IDF are looked up: the postings of a
-template, shifted by the difference of places, must agree on one shift.  At that shift the share
-of the template's words that stand where they should is its score, and a template counts only if
-its mandatory phrases stand there whole.
+pass over the documents finds where licence words stand, and the function words of whole mandatory
+phrases.  Counting documents by word gives each word's IDF, and then in each document every
+template is looked up by its own words of highest IDF: the places of its mandatory phrases' words,
+shifted by their places in the template, must agree on one shift, the rarest word first.  At that
+shift the share of the template's words that stand where they should is its score.  A template
+without mandatory phrases is tried at the shifts of so many of its rarest words that no match of
+MIN_SCORE can do without all of them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +51,6 @@ TEMPLATES = {
 }
 # Words too common to be looked for.
 FUNCTION_WORDS = "a an and any are as be by can for from in into is it of or out that the this to under use with without you".split()
-#: Words of highest IDF that are looked up for each document.
-RAREST = 12
 MIN_SCORE = 0.6
 
 
@@ -66,45 +65,54 @@ def hash_words(words: list[str]) -> np.ndarray:
 
 
 class Index:
-    """Templates as places of words, and postings: word -> (template, place)."""
+    """Templates as places of words, and the places of their mandatory phrases with function words."""
 
     def __init__(self, templates: dict[str, tuple[str, list[str]]] = TEMPLATES):
         self.labels = list(templates)
-        mandatory = {w for _, phrases in templates.values() for p in phrases for w in split_words(p)}
+        self.mandatory = sorted({tuple(split_words(p)) for _, phrases in templates.values() for p in phrases})
         texts = [split_words(t) for t, _ in templates.values()]
-        self.words = sorted({w for t in texts for w in t if w not in FUNCTION_WORDS} | (mandatory - set(FUNCTION_WORDS)))
+        self.words = sorted({w for t in texts for w in t if w not in FUNCTION_WORDS} | {w for p in self.mandatory for w in p})
         self.number = {w: k for k, w in enumerate(self.words)}
+        self.function = np.array([w in FUNCTION_WORDS for w in self.words])
         self.hashes = hash_words(self.words)
         self.order = np.argsort(self.hashes)
-        self.places = [{k: self.number[w] for k, w in enumerate(t) if w in self.number} for t in texts]
-        #: Of each template its phrases: the places of their words within the template.
-        self.phrases = [[self._within(t, split_words(p)) for p in phrases] for t, (_, phrases) in zip(texts, templates.values())]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
-        for t, places in enumerate(self.places):
-            for k, w in places.items():
-                self.postings.setdefault(w, []).append((t, k))
+        self.places = [{k: self.number[w] for k, w in enumerate(t) if w not in FUNCTION_WORDS} for t in texts]
+        if not all(self.places):
+            raise ValueError("a template has function words only")
+        #: Of each template the words of its phrases, function words too, by their places within the template.
+        self.phrases = [{k: self.number[t[k]] for p in phrases for k in self._within(t, split_words(p))} for t, (_, phrases) in zip(texts, templates.values())]
 
     @staticmethod
     def _within(text: list[str], phrase: list[str]) -> range:
         at = next(k for k in range(len(text)) if text[k : k + len(phrase)] == phrase)
         return range(at, at + len(phrase))
 
-    def match(self, words: list[int], places: list[int], idf: list[float]) -> dict[str, float]:
+    def anchors(self, idf: list[float]) -> list[list[tuple[int, int]]]:
+        """Of each template the places and words that are looked up, rarest first."""
+        rarest = lambda places: sorted(places.items(), key=lambda x: (-idf[x[1]], x))
+        # n words of which m must stand: one of any n - m + 1 does
+        spare = lambda n: sum(m / n >= MIN_SCORE for m in range(1, n + 1))
+        return [rarest(phrase) if phrase else rarest(here)[: spare(len(here))] for phrase, here in zip(self.phrases, self.places)]
+
+    def match(self, words: list[int], places: list[int], anchors: list[list[tuple[int, int]]]) -> dict[str, float]:
         """Label and score of each template found among licence words (numbers) at places."""
         at = dict(zip(places, words))
-        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:RAREST]
-        look = set(rare)
-        shifts: Counter = Counter()
+        stands: dict[int, list[int]] = {}
         for w, place in zip(words, places):
-            if w in look:
-                shifts.update((t, place - k) for t, k in self.postings.get(w, ()))
+            stands.setdefault(w, []).append(place)
         found: dict[str, float] = {}
-        for (t, shift), _ in shifts.items():
+        for t, look in enumerate(anchors):
+            if self.phrases[t]:
+                first, w = look[0]
+                shifts = {place - first for place in stands.get(w, ())}
+                for k, w in look[1:]:
+                    shifts = {shift for shift in shifts if at.get(shift + k) == w}
+            else:
+                shifts = {place - k for k, w in look for place in stands.get(w, ())}
             here = self.places[t]
-            stand = [k for k, w in here.items() if at.get(shift + k) == w]
-            score = len(stand) / len(here)
-            if score >= MIN_SCORE and all(at.get(shift + k) == here[k] for phrase in self.phrases[t] for k in phrase if k in here):
-                found[self.labels[t]] = max(score, found.get(self.labels[t], 0.0))
+            score = max((sum(at.get(shift + k) == w for k, w in here.items()) / len(here) for shift in shifts), default=0.0)
+            if score >= MIN_SCORE:
+                found[self.labels[t]] = score
         return found
 
 
@@ -116,13 +124,18 @@ def profile_block(block: tb.Block, index: Index) -> dict[str, list]:
     data = tb.fold_case(block.data)
     w = tb.words(block._replace(data=data), WORD)
     hashes = tb.span_hashes(data, w.starts, w.ends)
-    doc, begin, kind = [], [], []
-    for k, phrase in enumerate(BASE):
-        wanted = hash_words(phrase.split(" "))
+
+    def starts(phrase: list[str]) -> np.ndarray:
+        wanted = hash_words(phrase)
         at = np.flatnonzero(hashes == wanted[0])
         for j, h in enumerate(wanted[1:], 1):
             at = at[at + j < len(hashes)]
             at = at[(hashes[at + j] == h) & (w.doc[at + j] == w.doc[at])]
+        return at
+
+    doc, begin, kind = [], [], []
+    for k, phrase in enumerate(BASE):
+        at = starts(phrase.split(" "))
         doc.append(w.doc[at])
         begin.append(at)
         kind.append(np.full(len(at), k))
@@ -130,7 +143,13 @@ def profile_block(block: tb.Block, index: Index) -> dict[str, list]:
     labels = list(BASE.values())
     where = np.searchsorted(index.hashes[index.order], hashes).clip(max=len(index.order) - 1)
     number = index.order[where]
-    hit = np.flatnonzero(index.hashes[number] == hashes)
+    kept = (index.hashes[number] == hashes) & ~index.function[number]
+    for phrase in index.mandatory:
+        if any(x in FUNCTION_WORDS for x in phrase):  # function words are kept where they stand in a whole phrase
+            at = starts(list(phrase))
+            for j in range(len(phrase)):
+                kept[at + j] = True
+    hit = np.flatnonzero(kept)
     cuts = np.searchsorted(hit, w.first)
     out: dict[str, list] = {k: [] for k in ("n_base", "first_word", "last_word", "base_labels", "words", "places")}
     by_doc: dict[int, list[int]] = {}
@@ -170,12 +189,12 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, list[str]]] |
     table = cut(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), profile, _PROFILE))
     counts = dict(table.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").count().collect())
     total = table.count()
-    idf = [float(np.log((1 + total) / (1 + counts.get(k, 0)))) for k in range(len(index.words))]
+    anchors = index.anchors([float(np.log((1 + total) / (1 + counts.get(k, 0)))) for k in range(len(index.words))])
 
     def match(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         labels, scores = [], []
         for base, words, places in zip(*(batch.column(c).to_pylist() for c in ("base_labels", "words", "places"))):
-            found = index.match(words, places, idf) if words else {}
+            found = index.match(words, places, anchors) if words else {}
             labels.append(",".join(sorted({*base, *found})))
             scores.append(max(found.values(), default=1.0 if base else 0.0))
         base = pa.array([",".join(x) for x in batch.column("base_labels").to_pylist()], pa.string())

@@ -456,6 +456,44 @@ def test_licenses(odd, texts, spark):
     assert licenses.license_scan(empty(odd)).count() == 0
 
 
+def templates_brute(text, templates):
+    """Every template at every shift, read from the text itself."""
+    words, found = licenses.split_words(text), {}
+    for label, (body, phrases) in templates.items():
+        body = licenses.split_words(body)
+        here = [k for k, w in enumerate(body) if w not in licenses.FUNCTION_WORDS]
+        for shift in range(-len(body), len(words)):
+            stand = [0 <= shift + k < len(words) and words[shift + k] == w for k, w in enumerate(body)]
+            whole = True
+            for p in map(licenses.split_words, phrases):
+                at = next(k for k in range(len(body)) if body[k : k + len(p)] == p)
+                whole &= all(stand[at : at + len(p)])
+            score = sum(stand[k] for k in here) / len(here)
+            if whole and score >= licenses.MIN_SCORE:
+                found[label] = max(score, found.get(label, 0.0))
+    return found
+
+
+def test_licence_templates_are_all_tried(spark):
+    """Short notices beside long licence texts, and whole phrases, against all templates at all shifts."""
+    rng = random.Random(6)
+    bodies = [t for t, _ in licenses.TEMPLATES.values()]
+    planted = [f"{licenses.TEMPLATES['mit-text'][0]}. Released under the MIT License.", " ".join(bodies), licenses.TEMPLATES["bsd-text"][0].replace("and use in source and", "or use of source or")]
+    for _ in range(60):
+        words = " and the word ".join(rng.sample(bodies, rng.randint(1, 4))).split()
+        planted.append(" ".join(rng.choice(["the", "of", "license", w]) if rng.random() < 0.08 else w for w in words))
+    common = ["Released: the MIT license of this program, licensed public software"] * 200
+    docs = spark.createDataFrame(list(enumerate(planted + common)), "doc_id long, text string")
+    for templates in (licenses.TEMPLATES, {label: (text, []) for label, (text, _) in licenses.TEMPLATES.items()}):
+        got = {r["doc_id"]: r for r in licenses.license_scan(docs, templates).collect()}
+        for k, text in enumerate(planted + common[:1]):
+            base, want = set(filter(None, got[k]["base_labels"].split(","))), templates_brute(text, templates)
+            assert set(filter(None, got[k]["labels"].split(","))) == base | set(want)
+            assert got[k]["score"] == pytest.approx(max(want.values(), default=1.0 if base else 0.0))
+    got = licenses.license_scan(docs.where("doc_id <> 1")).where("doc_id in (0, 2)").orderBy("doc_id").collect()
+    assert "mit-licensed" in got[0]["labels"].split(",") and "mit-text" in got[0]["labels"].split(",") and "bsd-text" not in got[1]["labels"].split(",")
+
+
 # -- 9 URLs ------------------------------------------------------------------------------------------------
 
 def urls_brute(url):
