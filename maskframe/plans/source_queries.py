@@ -71,5 +71,6 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, count(*) AS n, round(sum(value * power(0.98::DOUBLE, n - k) * CASE WHEN k = 1 THEN 1 ELSE 0.02 END), 6) AS shadow FROM v GROUP BY ALL""")
 def stream_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decayed averages of event types as streaming state."""
-    updates = events.drain(events.decayed_average(events.read_events(spark, sf_dir), 0.98), _folder(spark), "update")
+    # one trigger: part files hold ids in any order
+    updates = events.drain(events.decayed_average(events.read_events(spark, sf_dir, None), 0.98), _folder(spark), "update")
     return updates.groupBy("event_type").agg(F.max("n").alias("n"), F.round(F.max_by("shadow", "n"), 6).alias("shadow"))
