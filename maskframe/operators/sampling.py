@@ -69,14 +69,18 @@ def sample_isocenters(centroids: DataFrame, n_views: int, seed: int, replacement
     """sample_id, view_idx and the centroid (i, j, k) each view looks at.
 
     Without replacement the centroids of a sample come in hashed order; views beyond them, and all
-    views with replacement, draw any.  A sample has few centroids (one a label).
+    views with replacement, draw any.  Without replacement a task keeps the first n_views centroids of
+    a sample before they meet; with it they are ordered whole, in one task a sample.
     """
     order = uniform(seed, "sample_id", "label")
-    ranked = centroids.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy(order, "label")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("sample_id")))
-    views = ranked.select("sample_id", "n").distinct().withColumn("view_idx", F.explode(sequence0(n_views)))
+    ranked = centroids.withColumn("rank", F.row_number().over(Window.partitionBy("sample_id").orderBy(order, "label")))
+    if not replacement:  # all ranks drawn are below n_views; Spark limits the groups of such a filter before the exchange
+        ranked = ranked.where(F.col("rank") <= n_views)
+    ranked = ranked.withColumn("rank", F.col("rank") - 1)
+    views = centroids.groupBy("sample_id").agg(F.count("*").alias("n")).withColumn("view_idx", F.explode(sequence0(n_views)))
     drawn = F.floor(uniform(seed, "sample_id", "view_idx", F.lit("again")) * F.col("n")).cast("int")
     want = drawn if replacement else F.when(F.col("view_idx") < F.col("n"), F.col("view_idx")).otherwise(drawn)
-    return views.withColumn("rank", want).join(ranked.drop("n"), ["sample_id", "rank"]).select("sample_id", "view_idx", "label", "i", "j", "k")
+    return views.withColumn("rank", want).join(ranked, ["sample_id", "rank"]).select("sample_id", "view_idx", "label", "i", "j", "k")
 
 
 # -- augmentations (one image a row) ------------------------------------------------------------------------

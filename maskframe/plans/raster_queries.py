@@ -42,6 +42,7 @@ def unit_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("standardize", """WITH q AS (SELECT l_orderkey, avg(l_extendedprice) AS m, coalesce(stddev_samp(l_extendedprice), 0) AS s FROM lineitem GROUP BY ALL)
 SELECT l_orderkey, count(*) AS n, round(sum(abs((l_extendedprice - m) / (s + 1e-8))), 5) AS total FROM lineitem JOIN q USING (l_orderkey) WHERE s > 0 GROUP BY ALL""")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose prices differ (as the SQL has it); the operator gives 0 for the others."""
     v = normalise.scaled_in_group("l_extendedprice", ["l_orderkey"], "standardize")
     scaled = table(spark, sf_dir, "lineitem").select("l_orderkey", v.alias("x"))
     return scaled.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("x")), 5).alias("total")).where("n > 1 AND total > 0.5")
@@ -191,7 +192,7 @@ def camera_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 v AS (SELECT DISTINCT s, n, unnest(range(0, 4)) AS k FROM o), w AS (SELECT s, k, CASE WHEN k < n THEN k ELSE floor(({_U.format("'3:' || s || ':' || k || ':again'")}) * n)::INT END AS rank FROM v)
 SELECT s::INT AS sample_id, k::INT AS view_idx, l AS label FROM w JOIN o USING (s, rank)""")
 def isocenters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four views of each nation, looking at its customers without replacement first."""
+    """Four views of each nation, looking at every twentieth customer (as the SQL has it) without replacement first."""
     c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("sample_id"), F.col("c_custkey").alias("label"), *(F.lit(0.0).alias(x) for x in "ijk"))
     return sampling.sample_isocenters(c, 4, 3).select("sample_id", "view_idx", "label")
 

@@ -1,5 +1,7 @@
 """Seeded draws, views, augmentations and settings."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +28,23 @@ def test_isocenters(spark):
     assert spark.range(1).select(sampling.volume_center(F.lit(3), F.lit(5), F.lit(5), affine)).first()[0] == [1, 2, 9]
 
 
+@pytest.mark.parametrize("replacement", [False, True])
+def test_isocenters_of_many_centroids(spark, replacement):
+    """Against a sort of each sample's centroids; without replacement only the first few reach the window."""
+    c = spark.range(3000).select((F.col("id") % 3).alias("sample_id"), F.col("id").alias("label"), *(F.lit(0.0).alias(x) for x in "ijk")).where("sample_id < 2 OR label < 9").repartition(5)
+    u = lambda *keys: int(hashlib.md5(":".join(map(str, keys)).encode()).hexdigest()[:8], 16) / 2**32
+    want = set()
+    for s in range(3):
+        order = sorted((label for label in range(s, 3000 if s < 2 else 9, 3)), key=lambda label: (u(1, s, label), label))
+        for view in range(4):
+            again = int(u(1, s, view, "again") * len(order))
+            want.add((s, view, order[view if view < len(order) and not replacement else again]))
+    got = sampling.sample_isocenters(c, 4, 1, replacement)
+    assert {(r["sample_id"], r["view_idx"], r["label"]) for r in got.collect()} == want and got.count() == 12
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("WindowGroupLimit" in plan) == (not replacement) and "count(1) windowspecdefinition" not in plan
+
+
 def test_presets(spark):
     views = spark.createDataFrame([(k,) for k in range(5)], "view_idx int")
     presets = spark.createDataFrame([(0, "ap"), (1, "lateral")], "preset_idx int, name string")
