@@ -3,7 +3,8 @@
 An item with an error budget of k edits is cut into k + 1 pieces: a passage within the budget has
 at least one piece untouched.  An Aho-Corasick automaton finds exact piece hits in each document;
 hits of one item near one diagonal ask for one verification, by Myers' bit-parallel distance over
-the stretch of text that the item could fill.
+the stretch of text that the item could fill.  Short items are looked for as they are, between
+word bounds.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from maskframe.llm.common import documents, map_arrow
 
 #: Edits allowed, as a share of an item's normalised characters.
 ERROR_RATE = 0.05
-#: Items with fewer normalised characters can't be told from chance and are not searched.
+#: Items with fewer normalised characters have no error budget and must stand between word bounds.
 MIN_CHARS = 25
 #: Benchmark text in one automaton, which bounds what is broadcast; more of it takes more passes.
 PASS_BYTES = 4_000_000
@@ -72,8 +73,10 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """Finds items in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS):
-        self.items = [(i, t, int(len(t) * error_rate)) for i, t in ((i, normalise(t)) for i, t in items) if len(t) >= min_chars]
+    def __init__(self, items: list[tuple[int, str]], error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, short_items: bool = True):
+        clean = ((i, normalise(t)) for i, t in items)
+        self.items = [(i, t, int(len(t) * error_rate) if len(t) >= min_chars else 0) for i, t in clean if len(t) >= (1 if short_items else max(1, min_chars))]
+        self.short = [len(t) < min_chars for _, t, _ in self.items]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, budget) in enumerate(self.items):
             for offset, piece in pieces(t, budget):
@@ -89,10 +92,16 @@ class Matcher:
         if not self.items:
             return []
         diagonals: dict[int, set[int]] = {}
+        exact: dict[int, tuple[int, int]] = {}
         for end, (length, where) in self.automaton.iter(text):
             for k, offset in where:
+                if self.short[k]:
+                    start = end + 1 - length
+                    if k not in exact and text[start - 1 : start] in ("", " ") and text[end + 1 : end + 2] in ("", " "):
+                        exact[k] = start, end + 1
+                    continue
                 diagonals.setdefault(k, set()).add(end + 1 - length - offset)
-        found = []
+        found = [(self.items[k][0], 0, *at) for k, at in exact.items()]
         for k, starts in diagonals.items():
             item_id, item, budget = self.items[k]
             best = None
@@ -134,23 +143,24 @@ class _Shared:
         return self.broadcast.value
 
 
-def _passes(benchmark: DataFrame, error_rate: float, min_chars: int) -> list[_Shared]:
+def _passes(benchmark: DataFrame, error_rate: float, min_chars: int, short_items: bool) -> list[_Shared]:
     """The benchmark in parts of about PASS_BYTES, each broadcast."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 + size // PASS_BYTES
-    return [_Shared(spark, ([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], error_rate, min_chars)) for k in range(n)]
+    return [_Shared(spark, ([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], error_rate, min_chars, short_items)) for k in range(n)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, short_items: bool = True) -> DataFrame:
     """Every pair of a document and a benchmark item that it holds within the error budget.
 
     Returns doc_id, item_id, distance (edits), budget, start, end (characters in the normalised
     text) and first_word (words before the match).  Both texts are lower-cased and reduced to
     words parted by single spaces; the budget is error_rate of the item's characters.  Documents
-    without a match have no row; null and empty texts never match.  Items that are null or shorter
-    than min_chars are not searched; equal items each match.  Repeated rows match each on their
+    without a match have no row; null and empty texts never match.  Items shorter than min_chars have
+    budget 0 and match between word bounds, first place, unless short_items is false; null items and
+    those without a word never match; equal items each match.  Repeated rows match each on their
     own, a null doc_id is carried through.  An empty benchmark gives no rows.  No shuffle: one
     pass over the documents for each PASS_BYTES of benchmark text.
     """
@@ -168,16 +178,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
 
         return map_arrow(chosen, run, "doc_id long, item_id long, distance long, budget long, start long, end long, first_word long")
 
-    found = [one(s) for s in _passes(benchmark, error_rate, min_chars)]
+    found = [one(s) for s in _passes(benchmark, error_rate, min_chars, short_items)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text holds no benchmark item; nulls stay."""
-    for shared in _passes(benchmark, error_rate, min_chars):
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, short_items: bool = True) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text holds no benchmark item; nulls stay.
+
+    With short_items false, items shorter than min_chars reject nothing.
+    """
+    for shared in _passes(benchmark, error_rate, min_chars, short_items):
 
         def run(batch: pa.RecordBatch, shared: _Shared = shared) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared)

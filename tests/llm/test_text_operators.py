@@ -384,6 +384,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs.where("doc_id > 99"), benchmark).count() == 0
 
 
+def test_short_items_match_word_for_word(spark):
+    items = [(0, "What is it?"), (1, "今日は天気がいい。"), (2, "cat"), (3, "?!"), (4, None), (5, "it is so far off from us")]
+    texts = ["So what, is IT", "what is its name", "今日は天気がいい、と言う", "concat the cats", "cat", "A cat. A cat!", "it is so far off from as", "", None, "?!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, j) for i, t in enumerate(texts) for j, item in items if (clean := decontaminate.normalise(item)) and f" {clean} " in f" {decontaminate.normalise(t)} "}
+    assert want == {(0, 0), (2, 1), (4, 2), (5, 2)}
+    got = decontaminate.contaminated(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and all(r["distance"] == r["budget"] == 0 for r in got)
+    assert {tuple(r)[4:] for r in got if r["doc_id"] in (0, 5)} == {(3, 13, 1), (2, 5, 1)}
+    assert {r["doc_id"] for r in decontaminate.without_contaminated(docs, benchmark).collect()} == set(range(10)) - {0, 2, 4, 5}
+    assert decontaminate.without_contaminated(docs, benchmark, short_items=False).count() == 10
+
+
 def test_benchmark_in_several_passes(spark, monkeypatch, sf_docs, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = lambda: sorted(map(tuple, decontaminate.contaminated(sf_docs, benchmark).collect()))
