@@ -4,23 +4,28 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.llm.bpe_codec import encode_documents
-from maskframe.llm.common import checkpoint_folder, documents
+from maskframe.llm.common import checkpoint_folder, documents, remove_folder
 from maskframe.llm.decontaminate import without_contaminated
 from maskframe.llm.near_join import one_of_each
-from maskframe.llm.quality import quality_rules
+from maskframe.llm.quality import cleaned
 from maskframe.llm.secrets import find_secrets, masked_text
 from maskframe.session import ship_package
 
 
+def _with_length(docs: DataFrame, changed: Column, like: DataFrame) -> DataFrame:
+    """The columns of ``like``; where the text has changed n_chars follows."""
+    length = lambda c, t: F.when(changed, F.length("text")).otherwise(F.col(c)).cast(t).alias(c)
+    return docs.select(*(length(c, t) if c == "n_chars" else F.col(c) for c, t in like.dtypes))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, without their boilerplate lines; n_chars follows."""
     ship_package(spark)
-    kept = quality_rules(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("__kept")).where("__kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).drop("__id")
+    return _with_length(cleaned(docs), F.col("__cut"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, with Parquet in the shared checkpoint folder between them."""
+    """The stages over ``documents``, with Parquet in the shared checkpoint folder between them.
+
+    What a stage wrote is deleted once the next one is written; the last one is read by the result.
+    """
     docs = documents(spark, sf_dir)
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -69,4 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                remove_folder(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs

@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -151,17 +152,9 @@ class Automaton:
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Tokens of each word: the labels of the one accepted path that spells it."""
         out: list[list[int]] = [[]] * len(words)
-        short = [k for k, w in enumerate(words) if 0 < len(w) <= LONG]
-        lo = 0
-        while lo < len(short):
-            hi, size = lo, 0
-            while hi < len(short) and size < BATCH_BYTES:
-                size += len(words[short[hi]])
-                hi += 1
-            part = short[lo:hi]
+        for part in self._batches(words):
             for k, path in zip(part, self._encode_batch([words[k] for k in part])):
                 out[k] = path
-            lo = hi
         for k, w in enumerate(words):
             if len(w) > LONG:
                 state, at, path = self.prefixes(w)[1], len(w), []
@@ -171,18 +164,49 @@ class Automaton:
                 out[k] = path[::-1]
         return out
 
-    def counts(self, words: list[bytes]) -> list[int]:
-        """Tokens of each word."""
-        return [len(path) for path in self.encode(words)]
+    def prefix_counts(self, words: list[bytes]) -> list[bytes | np.ndarray]:
+        """For each word the number of tokens of each of its prefixes, from the empty one to the whole.
+
+        Of a byte string longer than LONG it is an array, else as many bytes: one a prefix.
+        """
+        out: list[bytes | np.ndarray] = [b"\0"] * len(words)
+        for part in self._batches(words):
+            order, many, place, _, _, count = self._walk([words[k] for k in part], counted=True)
+            stored = count.astype(np.uint8).tobytes()
+            for k, p, n in zip(order.tolist(), place.tolist(), many.tolist()):
+                out[part[k]] = stored[p : p + n + 1]
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = np.array(self.prefixes(w)[0], np.uint32)
+        return out
 
-    def _encode_batch(self, words: list[bytes]) -> list[list[int]]:
+    @staticmethod
+    def _batches(words: list[bytes]) -> Iterator[list[int]]:
+        """Numbers of the words of 1 to LONG bytes, in lists of about BATCH_BYTES of them."""
+        part, size = [], 0
+        for k, w in enumerate(words):
+            if 0 < len(w) <= LONG:
+                part.append(k)
+                size += len(w)
+                if size >= BATCH_BYTES:
+                    yield part
+                    part, size = [], 0
+        if part:
+            yield part
+
+    def _walk(self, words: list[bytes], counted: bool = False) -> tuple[np.ndarray, ...]:
+        """Last token of every prefix of every word and its bytes, and with ``counted`` the prefix's number of tokens.
+
+        Words stand in falling length: order and lengths of them, and where the places of each begin.
+        """
         lengths = np.array([len(w) for w in words])
         order = np.argsort(-lengths, kind="stable")
         data = np.frombuffer(b"".join([words[k] for k in order]), np.uint8)
         many = lengths[order]
         first = np.cumsum(many) - many
         place = first + np.arange(len(many))  # of prefix 0 of each word; prefix i is i further on
-        state, size = np.full(len(data) + len(many), -1, np.int64), np.zeros(len(data) + len(many), np.int64)
+        total = len(data) + len(many)
+        state, size, count = np.full(total, -1, np.int64), np.zeros(total, np.int64), np.zeros(total if counted else 0, np.int32)
         for i in range(int(many[0])):
             m = int(np.searchsorted(-many, -i, "left"))  # words longer than i
             live = np.arange(m)
@@ -201,10 +225,17 @@ class Automaton:
                 if i and len(at):
                     ok = self._follow(here[at], token)
                     at, token = at[ok], token[ok]
-                state[place[at] + d], size[place[at] + d] = token, d - i
+                to = place[at] + d
+                state[to], size[to] = token, d - i
+                if counted:
+                    count[to] = count[place[at] + i] + 1
                 row = self._row[node]
                 on = (row >= 0) & (many[live] > d)
                 live, row = live[on], row[on]
+        return order, many, place, state, size, count
+
+    def _encode_batch(self, words: list[bytes]) -> list[list[int]]:
+        order, many, place, state, size, _ = self._walk(words)
         # read the paths back, all words at once
         found: list[tuple[np.ndarray, np.ndarray]] = []
         live, at = np.arange(len(many)), many.copy()
@@ -295,14 +326,3 @@ class Vocabulary:
             return self.older_pattern.findall(text)
         return self.pattern.findall(text)
 
-
-_loaded: dict[int, Vocabulary] = {}
-
-
-def vocabulary(content: str) -> Vocabulary:
-    """Compiled once in each process."""
-    key = hash(content)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary(content)
-    return _loaded[key]

@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm.bpe import Vocabulary, vocabulary
-from maskframe.llm.common import documents, map_arrow, text_groups
+from maskframe.llm.bpe import Vocabulary
+from maskframe.llm.common import documents, kept, map_arrow, text_groups
 
 VOCABULARY = "word_bpe_49k.json"
 #: Encoded words each Python worker remembers; then it forgets all of them.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Characters of texts that are split and encoded together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 
 
 class Codec:
@@ -84,15 +84,9 @@ class Codec:
             yield n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(labels).encode()).hexdigest()
 
 
-_codec: list[Codec] = []
-
-
 def codec(content: str) -> Codec:
     """The codec of a vocabulary, made once in each process."""
-    vocab = vocabulary(content)
-    if not _codec or _codec[0].vocab is not vocab:
-        _codec[:] = [Codec(vocab)]
-    return _codec[0]
+    return kept(f"codec {hash(content)}", lambda: Codec(Vocabulary(content)))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -116,7 +110,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, keep_ids: bool =
                 out |= {"ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([c.decode(i) for i in ids], pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids, keeps="codec")
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of one Arrow batch between Spark and Python.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,11 +24,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a temporary one is made and set.
+    Where that is unset a temporary one is made and set, but only if the session runs on this
+    machine alone: no executor of a cluster would see it.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -35,21 +42,81 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the checkpoints of tables made by ``cut`` that nothing will read again."""
+    for df in tables:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            remove_folder(df.sparkSession, file.get())
+
+
+#: The one thing that this worker process keeps between tasks, by its key.
+_kept: dict[str, Any] = {}
+
+
+def kept(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in each worker process.
+
+    A process keeps only the last such thing: workers go from operator to operator, and what one
+    of them remembers would be held while the next one works.
+    """
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Let go of what the process keeps, and give the memory back to the system."""
+    _kept.clear()
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str | StructType, keeps: str | None = None) -> DataFrame:
     """``function`` turns each record batch into batches of ``schema``.
 
-    The session's batches are brought down to BATCH_BYTES: texts differ in length a thousandfold,
-    so a number of rows does not bound a batch.
+    keeps: the start of the keys it asks ``kept`` for; all else that a worker keeps is let go first.
+    The session's batches are brought down to BATCH_BYTES, if they are larger, for good: texts
+    differ in length a thousandfold, so a number of rows does not bound a batch, and Spark reads the
+    setting only when the result is computed.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(conf.get(name, "0")) <= BATCH_BYTES:
+        conf.set(name, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if any(not keeps or not key.startswith(keeps) for key in _kept):
+            release()
         for batch in batches:
             yield from function(batch)
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def _bytes(setting: str) -> int:
+    """A size setting in bytes; 0 for what is not a plain number or one with k, m or g."""
+    digits = setting.lower().rstrip("b")
+    factor = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(digits[-1:], 1)
+    digits = digits.rstrip("kmg")
+    return int(digits) * factor if digits.isdigit() else 0
+
+
 def text_groups(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with about so many characters of text, or one longer document; nulls as empty texts."""
     texts = [t or "" for t in batch.column("text").to_pylist()]

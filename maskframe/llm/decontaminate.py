@@ -9,6 +9,7 @@ word bounds.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm.common import documents, map_arrow
+from maskframe.llm.common import cut, documents, kept, map_arrow
 
 #: Edits allowed, as a share of an item's normalised characters.
 ERROR_RATE = 0.05
@@ -121,14 +122,8 @@ class Matcher:
         return found
 
 
-_matchers: dict[str, Matcher] = {}
-
-
 def _matcher(shared) -> Matcher:
-    if shared.id not in _matchers:
-        _matchers.clear()
-        _matchers[shared.id] = Matcher(*shared.value)
-    return _matchers[shared.id]
+    return kept(f"matcher {shared.id}", lambda: Matcher(*shared.value))
 
 
 class _Shared:
@@ -143,13 +138,18 @@ class _Shared:
         return self.broadcast.value
 
 
-def _passes(benchmark: DataFrame, error_rate: float, min_chars: int, short_items: bool) -> list[_Shared]:
-    """The benchmark in parts of about PASS_BYTES, each broadcast."""
+def _passes(benchmark: DataFrame, error_rate: float, min_chars: int, short_items: bool) -> Iterator[tuple[_Shared, bool]]:
+    """The benchmark in parts of about PASS_BYTES, and whether another one follows.
+
+    A part is read and broadcast when it is asked for; the driver holds one at a time.
+    """
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = 1 + size // PASS_BYTES
-    return [_Shared(spark, ([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()], error_rate, min_chars, short_items)) for k in range(n)]
+    for k in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield _Shared(spark, ([tuple(r) for r in part.collect()], error_rate, min_chars, short_items)), k + 1 < n
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, short_items: bool = True) -> DataFrame:
@@ -176,27 +176,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
             names = ("doc_id", "item_id", "distance", "budget", "start", "end", "first_word")
             yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)})
 
-        return map_arrow(chosen, run, "doc_id long, item_id long, distance long, budget long, start long, end long, first_word long")
+        return map_arrow(chosen, run, "doc_id long, item_id long, distance long, budget long, start long, end long, first_word long", keeps="matcher")
 
-    found = [one(s) for s in _passes(benchmark, error_rate, min_chars, short_items)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return functools.reduce(DataFrame.unionByName, (one(s) for s, _ in _passes(benchmark, error_rate, min_chars, short_items)))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, short_items: bool = True) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text holds no benchmark item; nulls stay.
 
-    With short_items false, items shorter than min_chars reject nothing.
+    With short_items false, items shorter than min_chars reject nothing.  What one part of the
+    benchmark leaves is written before the next one is looked for, so a task holds one matcher.
     """
-    for shared in _passes(benchmark, error_rate, min_chars, short_items):
+    for shared, more in _passes(benchmark, error_rate, min_chars, short_items):
 
         def run(batch: pa.RecordBatch, shared: _Shared = shared) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared)
             yield batch.filter(pa.array([not matcher.find(normalise(t.as_py())) for t in batch.column("text")], pa.bool_()))
 
-        docs = map_arrow(docs, run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema, keeps="matcher")
+        if more:
+            docs = cut(docs)
     return docs
 
 

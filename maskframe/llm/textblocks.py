@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -89,14 +89,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
+    """Powers of ``base``; those of one block are kept, as many as a longer document needs are not."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        out = np.full(size, base, np.uint64)
+        out = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
         out[0] = 1
-        have = _powers[name] = np.multiply.accumulate(out)
-        if size > 8 * BLOCK_BYTES:
-            del _powers[name]
+        np.multiply.accumulate(out, out=out)
+        if n > BLOCK_BYTES + 1:
+            return out
+        have = _powers[name] = out
     return have[:n]
 
 

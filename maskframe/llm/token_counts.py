@@ -1,8 +1,9 @@
 """Token counts by prefix dynamic programming.
 
-For every prefix of a word the exact number of its tokens is stored, and with the counts at word
-bounds that gives the tokens of every prefix of a text: how long a text is, whether it is over a
-limit, and where to cut it to fit a budget, all without encoding anything again.
+One pass over each different word works out the exact number of tokens of every one of its
+prefixes: the count at the start of a prefix's last token, and one.  These arrays are stored, and
+with the counts at word bounds they give the tokens of every prefix of a text: how long a text is,
+whether it is over a limit, and where to cut it to fit a budget.  No tokens are ever listed.
 """
 
 from __future__ import annotations
@@ -15,38 +16,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm.bpe import Vocabulary, vocabulary
-from maskframe.llm.common import documents, map_arrow, text_groups
+from maskframe.llm.bpe import Vocabulary
+from maskframe.llm.common import documents, kept, map_arrow, text_groups
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-#: Words of which each Python worker remembers the count; then it forgets all of them.
-REMEMBERED = 600_000
+#: Words of which each Python worker stores the counts; then it forgets all of them.
+REMEMBERED = 200_000
 #: Characters of texts that are split and counted together.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 1_000_000
 
 
-class _Counts(dict):
-    """Tokens of a word, worked out when first asked for."""
+class _Stored(dict):
+    """Word to the tokens of each of its prefixes (in bytes), the empty one first."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
         self.vocab = vocab
 
     def learn(self, words: set[str]) -> None:
-        """Count the words that are not known yet, all together."""
+        """Store the words that are not known yet, all together."""
         new = list(words - self.keys())
         if len(self) + len(new) > REMEMBERED:
             self.clear()
             new = list(words)
         symbols = self.vocab.symbols
-        self.update(zip(new, self.vocab.automaton.counts([symbols(w) for w in new])))
+        self.update(zip(new, self.vocab.automaton.prefix_counts([symbols(w) for w in new])))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[word] = self.vocab.automaton.prefixes(self.vocab.symbols(word))[0][-1]
-        return n
+    def __missing__(self, word: str) -> bytes:
+        self.learn({word})
+        return self[word]
 
 
 class TokenCounter:
@@ -54,38 +53,40 @@ class TokenCounter:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.of_word = _Counts(vocab)
+        self.stored = _Stored(vocab)
+
+    def of_word(self, word: str) -> int:
+        return int(self.stored[word][-1])
 
     def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of whole texts; new words of all of them are counted together."""
+        """Tokens of whole texts; new words of all of them are stored together."""
         split = [[(None, part) if special is not None else (self.vocab.words(part), "") for part, special in self.vocab.parts(t)] for t in texts]
-        self.of_word.learn({w for parts in split for words, _ in parts if words for w in words})
-        get = self.of_word.__getitem__
-        return [sum([1 if words is None else sum(map(get, words)) for words, _ in parts]) for parts in split]
+        self.stored.learn({w for parts in split for words, _ in parts if words for w in words})
+        return [sum([1 if words is None else sum(map(self.of_word, words)) for words, _ in parts]) for parts in split]
 
     def count(self, text: str) -> int:
-        """Tokens of one whole text, its new words one by one."""
-        return sum([1 if special is not None else sum(map(self.of_word.__getitem__, self.vocab.words(part))) for part, special in self.vocab.parts(text)])
+        """Tokens of one whole text."""
+        return self.counts([text])[0]
 
     def _plain(self, text: str) -> list[int]:
         """Tokens of each prefix (in characters) of a text whose special strings are plain text."""
         out, at, base = [0], 0, 0  # base: tokens of the words before the current one
         run = run_base = 0  # where the white space before a place began, and the tokens up to there
         for word in self.vocab.words(text):
-            counts = self.vocab.automaton.prefixes(self.vocab.symbols(word))[0]
+            counts = self.stored[word]
             byte = 0
             for k, c in enumerate(word, 1):
                 byte += len(c.encode())
-                n = base + counts[byte]
+                n = base + int(counts[byte])
                 if c.isspace():  # white space at the end of a prefix is one word
                     if at + k == 1 or not text[at + k - 2].isspace():
                         run, run_base = at + k - 1, base
-                    n = run_base + self.of_word[text[run : at + k]]
+                    n = run_base + self.of_word(text[run : at + k])
                 elif k == 2 and word in ("'re", "'ve", "'ll"):
-                    n = base + self.of_word["'"] + self.of_word[c]
+                    n = base + self.of_word("'") + self.of_word(c)
                 out.append(n)
             at += len(word)
-            base += counts[-1]
+            base += int(counts[-1])
         return out
 
     def prefix_counts(self, text: str) -> list[int]:
@@ -118,7 +119,7 @@ class TokenCounter:
         for part, special in self.vocab.parts(text):
             start = at
             for word in [part] if special is not None else map(_MATCHED, self.vocab.pattern.finditer(part)):
-                n = 1 if special is not None else self.of_word[word]
+                n = 1 if special is not None else self.of_word(word)
                 if used + n > budget:
                     end = at + len(word)
                     break
@@ -146,15 +147,11 @@ class TokenCounter:
 
 
 _MATCHED = operator.methodcaller("group")
-_counter: list[TokenCounter] = []
 
 
 def counter(content: str) -> TokenCounter:
     """The counter of a vocabulary, made once in each process."""
-    vocab = vocabulary(content)
-    if not _counter or _counter[0].vocab is not vocab:
-        _counter[:] = [TokenCounter(vocab)]
-    return _counter[0]
+    return kept(f"counter {hash(content)}", lambda: TokenCounter(Vocabulary(content)))
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
@@ -178,7 +175,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
                 "over_limit": pa.array([k > limit for k in n]), "fit_chars": pa.array([c.fit(t, limit) if k > limit else len(t) for t, k in zip(texts, n)], pa.int64()),
             })
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long", keeps="counter")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
