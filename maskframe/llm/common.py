@@ -96,7 +96,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
     setting only when the result is computed.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < _bytes(conf.get(name, "0")) <= BATCH_BYTES:
+    if not 0 < _bytes(conf.get(name)) <= BATCH_BYTES:
         conf.set(name, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
