@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,16 @@ def col(x: ColumnLike) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body reads it, within lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bind_fields(body: Callable[[Column], Column], **values: Column) -> Column:
+    """As ``bind``, for several values that the body reads as fields."""
+    return bind(F.struct(*(v.alias(name) for name, v in values.items())), body)
+
+
 def total(a: ColumnLike) -> Column:
     """Sum of an array of doubles."""
     return F.aggregate(col(a), F.lit(0.0), lambda s, x: s + x)
@@ -37,10 +49,19 @@ def sequence0(n: Column | int) -> Column:
 
 def sorted_quantile(a: ColumnLike, q: float) -> Column:
     """Quantile with linear interpolation; null for an empty array."""
-    s = F.array_sort(col(a))
-    rank = (F.size(col(a)) - 1) * F.lit(float(q))
+    return bind(ascending(a), lambda s: quantile_of_sorted(s, q))
+
+
+def ascending(a: ColumnLike) -> Column:
+    """Sorted, nulls last."""
+    return bind(col(a), lambda v: F.when(F.exists(v, lambda x: x.isNull()), F.array_sort(v)).otherwise(F.sort_array(v)))
+
+
+def quantile_of_sorted(s: Column, q: float) -> Column:
+    """``sorted_quantile`` of an array that is sorted already."""
+    rank = (F.size(s) - 1) * F.lit(float(q))
     lo = F.floor(rank).cast("int")
-    low, high = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(col(a)) - 1))
+    low, high = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(s) - 1))
     return low + (high - low) * (rank - lo)
 
 
@@ -51,7 +72,7 @@ def argmax(a: ColumnLike) -> Column:
 
 def transpose(a: ColumnLike) -> Column:
     """array[i][j] as array[j][i]."""
-    return F.transform(sequence0(F.size(F.get(col(a), F.lit(0)))), lambda j: F.transform(col(a), lambda row: F.get(row, j)))
+    return bind(col(a), lambda m: F.transform(sequence0(F.size(F.get(m, F.lit(0)))), lambda j: F.transform(m, lambda row: F.get(row, j))))
 
 
 def finite(a: ColumnLike) -> Column:

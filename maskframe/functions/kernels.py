@@ -112,27 +112,31 @@ def equalize_tiles(image: np.ndarray, clip: float, grid: tuple[int, int]) -> np.
 
     Tile histograms of 256 bins are clipped at max(floor(clip * pixels / 256), 1), the excess is
     spread evenly (what is left over one bin each from the start), and cumulative maps of the four
-    nearest tiles are blended bilinearly.
+    nearest tiles are blended bilinearly.  A value x falls into bin floor(255 x); the grid has at most
+    one tile a pixel, tiles have even sides, and a place lies at i / side - 0.5 between tiles.
     """
+    if not (np.isfinite(clip) and clip > 0 and min(grid) > 0):
+        raise ValueError("clip and grid must be positive")
     h, w = image.shape
-    gy, gx = grid
+    gy, gx = min(grid[0], h), min(grid[1], w)
     th, tw = -(-h // gy), -(-w // gx)
+    th, tw = th + th % 2, tw + tw % 2
+    image = np.clip(image.astype(np.float32), 0, 1)  # single precision decides on which side of a bin a value falls
     p = np.pad(image, ((0, th * gy - h), (0, tw * gx - w)), mode="reflect" if th * gy - h < h and tw * gx - w < w else "edge")
-    bins = np.clip((p * 256).astype(int), 0, 255)
+    bins = np.clip((p * np.float32(255)).astype(int), 0, 255)
     luts = np.empty((gy, gx, 256))
     pixels = th * tw
     limit = max(int(clip * pixels // 256), 1)
     for i in range(gy):
         for j in range(gx):
             hist = np.bincount(bins[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
-            if clip > 0:
-                over = int(np.clip(hist - limit, 0, None).sum())
-                hist = np.minimum(hist, limit) + over // 256
-                hist[: over % 256] += 1
-            luts[i, j] = np.clip(np.floor(np.cumsum(hist) * 255.0 / pixels), 0, 255) / 255.0
+            over = int(np.clip(hist - limit, 0, None).sum())
+            hist = np.minimum(hist, limit) + over // 256
+            hist[: over % 256] += 1
+            luts[i, j] = np.clip(np.floor(np.cumsum(hist).astype(np.float32) * np.float32(255.0 / pixels)), 0, 255) / 255.0
 
     def axis(n: int, tile: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = (np.arange(n) + 0.5) / tile - 0.5
+        at = np.arange(n) / tile - 0.5
         low = np.clip(np.floor(at), 0, count - 1).astype(int)
         return low, np.clip(low + 1, 0, count - 1), np.clip(at - low, 0, 1)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskframe.functions.arrays import ColumnLike, col, doubles, mean, sorted_quantile, total
+from maskframe.functions.arrays import ColumnLike, ascending, bind, bind_fields, col, doubles, mean, quantile_of_sorted, total
 
 EPS = 1e-8
 #: Lower and upper bound of integer types of at most 16 bits.
@@ -21,8 +23,8 @@ def sigmoid(x: ColumnLike) -> Column:
 
 def softmax(a: ColumnLike) -> Column:
     """Softmax of an array of logits."""
-    e = F.transform(doubles(a), lambda x: F.exp(x - F.array_max(doubles(a))))
-    return F.transform(e, lambda x: x / total(e))
+    shifted = bind(doubles(a), lambda v: bind_fields(lambda s: F.transform(s["v"], lambda x: F.exp(x - s["top"])), v=v, top=F.array_max(v)))
+    return bind(shifted, lambda e: bind_fields(lambda s: F.transform(s["e"], lambda x: x / s["sum"]), e=e, sum=total(e)))
 
 
 def quantize_probability(p: ColumnLike) -> Column:
@@ -70,34 +72,34 @@ def hu_bounds(x: ColumnLike, hu_min: float | None, air_clamp: float | None) -> C
     return raised if air_clamp is None else F.when(v <= air_clamp, F.lit(-1000.0)).otherwise(raised)
 
 
-# -- whole arrays (one image a row) ------------------------------------------------------------
+# -- whole arrays (one image a row): bounds and moments are bound once, so the work is linear in pixels -----
+
+def _by_range(a: ColumnLike, scaled: Callable[[Column, Column, Column], Column]) -> Column:
+    """``scaled`` of every element with the smallest and the largest one."""
+    return bind(doubles(a), lambda v: bind_fields(lambda s: F.transform(s["v"], lambda x: scaled(x, s["low"], s["high"])), v=v, low=F.array_min(v), high=F.array_max(v)))
+
 
 def unit_range(a: ColumnLike) -> Column:
     """(x - min) / (max - min); a constant image is 0."""
-    v = doubles(a)
-    low, high = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(F.lit(0.0)))
+    return _by_range(a, lambda x, low, high: F.when(high > low, (x - low) / (high - low)).otherwise(F.lit(0.0)))
 
 
 def minmax(a: ColumnLike, eps: float = EPS) -> Column:
-    v = doubles(a)
-    low, high = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: (x - low) / F.greatest(high - low, F.lit(eps)))
+    return _by_range(a, lambda x, low, high: (x - low) / F.greatest(high - low, F.lit(eps)))
 
 
 def percentile_minmax(a: ColumnLike, low: float = 0.5, high: float = 99.5, eps: float = EPS) -> Column:
     """Clip to two percentiles (linear interpolation) and scale between them."""
-    v = doubles(a)
-    p, q = sorted_quantile(v, low / 100), sorted_quantile(v, high / 100)
-    return F.transform(v, lambda x: (F.least(F.greatest(x, p), q) - p) / F.greatest(q - p, F.lit(eps)))
+    scaled = lambda s: F.transform(s["v"], lambda x: (F.least(F.greatest(x, s["p"]), s["q"]) - s["p"]) / F.greatest(s["q"] - s["p"], F.lit(eps)))
+    ends = lambda s: bind_fields(scaled, v=s["v"], p=quantile_of_sorted(s["sorted"], low / 100), q=quantile_of_sorted(s["sorted"], high / 100))
+    return bind(doubles(a), lambda v: bind_fields(ends, v=v, sorted=ascending(v)))
 
 
 def standardize(a: ColumnLike, eps: float = EPS) -> Column:
     """(x - mean) / (standard deviation with n - 1, and eps)."""
-    v = doubles(a)
-    m = mean(v)
-    sd = F.sqrt(F.try_divide(total(F.transform(v, lambda x: (x - m) * (x - m))), F.size(v) - 1))
-    return F.transform(v, lambda x: (x - m) / (F.coalesce(sd, F.lit(0.0)) + eps))
+    centred = bind(doubles(a), lambda v: bind_fields(lambda s: F.transform(s["v"], lambda x: x - s["mean"]), v=v, mean=mean(v)))
+    deviation = lambda c: F.coalesce(F.sqrt(F.try_divide(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x), F.size(c) - 1)), F.lit(0.0)) + eps
+    return bind(centred, lambda c: bind_fields(lambda s: F.transform(s["c"], lambda x: x / s["by"]), c=c, by=deviation(c)))
 
 
 def finite_or_zero(a: ColumnLike) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskframe.functions.arrays import sequence0
+from maskframe.functions.arrays import bind, bind_fields, sequence0
 
 BACKGROUND = "background"
 
@@ -68,15 +68,17 @@ def one_hot(labels: str | Column, classes: int) -> Column:
 def background_complement(channels: str | Column) -> Column:
     """[class][pixel] with channel 0 set to 1 where no other channel is positive; a single channel is all 1."""
     channels = F.col(channels) if isinstance(channels, str) else channels
-    pixels = sequence0(F.size(F.get(channels, F.lit(0))))
-    rest = F.slice(channels, 2, F.greatest(F.size(channels) - 1, F.lit(0)))
-    background = F.transform(pixels, lambda i: F.when(F.exists(rest, lambda c: F.get(c, i) > 0), 0.0).otherwise(1.0))
-    return F.concat(F.array(background), rest)
+
+    def completed(s: Column) -> Column:
+        background = F.transform(sequence0(s["pixels"]), lambda i: F.when(F.exists(s["rest"], lambda c: F.get(c, i) > 0), 0.0).otherwise(1.0))
+        return F.concat(F.array(background), s["rest"])
+
+    return bind(channels, lambda m: bind_fields(completed, pixels=F.size(F.get(m, F.lit(0))), rest=F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0)))))
 
 
 def project_labels(labels: str | Column, lut: str | Column, classes: int) -> Column:
     """Dense native labels to model channels with a complementary background."""
-    return background_complement(one_hot(apply_lut(labels, lut), classes))
+    return background_complement(bind(apply_lut(labels, lut), lambda native: one_hot(native, classes)))
 
 
 def project_channels(channels: DataFrame, names: DataFrame, target: DataFrame) -> DataFrame:

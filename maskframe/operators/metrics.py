@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskframe.functions.arrays import ColumnLike, argmax, col, dot, sequence0, sorted_quantile, total, transpose
+from maskframe.functions.arrays import ColumnLike, argmax, bind, bind_fields, col, dot, sequence0, sorted_quantile, total, transpose
 from maskframe.functions.normalise import sigmoid, softmax
 
 EPS = 1e-7
@@ -44,19 +44,19 @@ def channels(images: DataFrame, mode: str = "binary", threshold: float | None =
 
 
 def _hard(a: Column) -> Column:
-    best = F.transform(transpose(a), argmax)
-    return F.transform(sequence0(F.size(a)), lambda k: F.transform(best, lambda b: F.when(b == k, 1.0).otherwise(0.0)))
+    winners = lambda m: bind_fields(lambda s: F.transform(sequence0(s["n"]), lambda k: F.transform(s["best"], lambda b: F.when(b == k, 1.0).otherwise(0.0))), n=F.size(m), best=F.transform(transpose(m), argmax))
+    return bind(a, winners)
 
 
 # -- scores by sample and class ------------------------------------------------------------------------
 
-def dice(rows: DataFrame, smooth: float = 0.0, eps: float = EPS) -> DataFrame:
-    """score = (2 |P and T| + smooth) / max(|P| + |T| + smooth, eps), and amount, |T|."""
+def dice(rows: DataFrame, smooth: float = 1e-7, eps: float = EPS) -> DataFrame:
+    """score = (2 |P and T| + smooth) / max(|P| + |T| + smooth, eps), and amount, |T|; 1 where both are empty, unless smooth is 0."""
     inter, p, t = dot("p", "t"), total("p"), total("t")
     return rows.select("sample_id", "class_id", ((2 * inter + smooth) / F.greatest(p + t + smooth, F.lit(eps))).alias("score"), t.alias("amount"))
 
 
-def soft_dice(rows: DataFrame, smooth: float = 0.0, eps: float = EPS, square: bool = True, weight: str | None = None) -> DataFrame:
+def soft_dice(rows: DataFrame, smooth: float = 1e-7, eps: float = EPS, square: bool = True, weight: str | None = None) -> DataFrame:
     """Dice of probabilities, pixels weighted by the array ``weight``; squares in the denominator by default."""
     w = F.col(weight) if weight else F.transform("t", lambda x: F.lit(1.0))
     squares = lambda a: F.transform(a, lambda x: x * x) if square else F.col(a)

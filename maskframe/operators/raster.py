@@ -158,13 +158,25 @@ def suppress(data: ColumnLike, other: ColumnLike, threshold: float) -> Column:
     return F.zip_with(col(data), col(other), lambda x, o: F.when(o > threshold, F.lit(0.0)).otherwise(x))
 
 
+@F.pandas_udf(DOUBLES)
+def _far(data: pd.Series, other: pd.Series, width: pd.Series, threshold: pd.Series, distance: pd.Series) -> pd.Series:
+    out = []
+    for d, o, w, t, r in zip(data, other, width, threshold, distance):
+        if d is None:
+            out.append(None)
+            continue
+        lit = lambda a: ~(np.asarray(a, float) <= t)  # noqa: E731, B023
+        kept = lit(d) if o is not None else np.zeros(len(d), bool)
+        away = None if o is None else kernels.distance_to(lit(o).reshape(-1, int(w)))
+        if away is not None:
+            kept &= np.rint(away.ravel() ** 2) > r * r
+        out.append(kept.astype(float))
+    return pd.Series(out)
+
+
 def remove_near(data: ColumnLike, other: ColumnLike, width: ColumnLike, threshold: float, distance: float) -> Column:
     """1 where a channel is above the threshold and farther than ``distance`` from every pixel where the other is, else 0."""
-    a, w = col(data), col(width).cast("int")
-    place = lambda i: F.struct(F.floor(i / w).cast("int").alias("y"), (i % w).alias("x"))
-    far = F.transform(F.filter(sequence0(F.size(col(other))), lambda i: F.get(col(other), i) > threshold), place)
-    near = lambda i: F.exists(far, lambda q: (q["y"] - F.floor(i / w)) * (q["y"] - F.floor(i / w)) + (q["x"] - i % w) * (q["x"] - i % w) <= distance * distance)
-    return F.transform(a, lambda v, i: F.when((v > threshold) & ~near(i), 1.0).otherwise(0.0))
+    return _far(col(data), col(other), col(width).cast("int"), F.lit(float(threshold)), F.lit(float(distance)))
 
 
 @F.pandas_udf(DOUBLES)

@@ -13,7 +13,7 @@ _HARD = IMAGES_SQL + ", s AS (SELECT vec_id, any_value(label) AS label, c, 2 * s
 
 
 def _hard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.dice(metrics.channels(embedding_images(spark, sf_dir), "binary", 0.0))
+    return metrics.dice(metrics.channels(embedding_images(spark, sf_dir), "binary", 0.0), smooth=0.0)
 
 
 @query("hard_dice", _HARD + " SELECT vec_id AS sample_id, c::INT AS class_id, round(score, 6) AS score, amount::DOUBLE AS amount FROM s")
@@ -37,7 +37,15 @@ def dice_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT vec_id AS sample_id, c::INT AS class_id, round(2 * sum((hp AND ht)::INT) / greatest(sum(hp::INT) + sum(ht::INT), 1e-7), 6) AS score FROM b GROUP BY ALL""")
 def dice_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four channels as classes of one pixel: the largest wins, in prediction and target."""
-    return metrics.dice(metrics.channels(embedding_images(spark, sf_dir), "onehot", 0.9)).select("sample_id", "class_id", F.round("score", 6).alias("score"))
+    return metrics.dice(metrics.channels(embedding_images(spark, sf_dir), "onehot", 0.9), smooth=0.0).select("sample_id", "class_id", F.round("score", 6).alias("score"))
+
+
+@query("dice_default", IMAGES_SQL + """, s AS (SELECT vec_id, c, (2 * sum(((p > 0.15)::INT) * t) + 1e-7) / greatest(sum((p > 0.15)::INT) + sum(t) + 1e-7, 1e-7) AS score FROM (SELECT vec_id, c, p, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE t END AS t FROM px) GROUP BY ALL)
+SELECT vec_id AS sample_id, c::INT AS class_id, round(score, 6) AS score FROM s""")
+def dice_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dice with the default smoothing; every third image has empty targets, so empty predictions of them score 1."""
+    images = embedding_images(spark, sf_dir).withColumn("target", F.when(F.col("sample_id") % 3 == 0, F.transform("target", lambda c: F.transform(c, lambda x: F.lit(0.0)))).otherwise(F.col("target")))
+    return metrics.dice(metrics.channels(images, "binary", 0.15)).select("sample_id", "class_id", F.round("score", 6).alias("score"))
 
 
 @query("soft_dice", IMAGES_SQL + """, q AS (SELECT vec_id, c, 1 / (1 + exp(-p)) AS p, t FROM px)
@@ -50,7 +58,7 @@ def soft_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("soft_dice_loss", IMAGES_SQL + """, q AS (SELECT vec_id, c, 1 / (1 + exp(-p)) AS p, t FROM px), s AS (SELECT vec_id, c, (2 * sum(p * t)) / greatest(sum(p) + sum(t), 1e-7) AS s FROM q GROUP BY ALL)
 SELECT c::INT AS class_id, round(avg(1 - s), 6) AS loss, round(avg(-ln(greatest(s, 1e-7))), 6) AS log_loss FROM s GROUP BY ALL""")
 def soft_dice_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = metrics.soft_dice(metrics.channels(embedding_images(spark, sf_dir), "binary", None, from_logits=True), square=False)
+    scores = metrics.soft_dice(metrics.channels(embedding_images(spark, sf_dir), "binary", None, from_logits=True), smooth=0.0, square=False)
     return scores.groupBy("class_id").agg(F.round(F.avg(metrics.soft_dice_loss("score")), 6).alias("loss"), F.round(F.avg(metrics.soft_dice_loss("score", log=True)), 6).alias("log_loss"))
 
 

@@ -48,6 +48,22 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("x")), 5).alias("total")).where("n > 1 AND total > 0.5")
 
 
+_PER_IMAGE = 65_536  # order keys of one image
+
+
+@query("image_scalings", f"""WITH v AS (SELECT l_orderkey // {_PER_IMAGE} AS image, l_extendedprice AS x FROM lineitem),
+q AS (SELECT image, min(x) AS low, max(x) AS high, quantile_cont(x, 0.005) AS a, quantile_cont(x, 0.995) AS b, avg(x) AS m, coalesce(stddev_samp(x), 0) AS s FROM v GROUP BY ALL)
+SELECT image, count(*) AS n, round(sum(CASE WHEN high > low THEN (x - low) / (high - low) ELSE 0 END), 4) AS unit_range, round(sum((x - low) / greatest(high - low, 1e-8)), 4) AS minmax,
+round(sum((least(greatest(x, a), b) - a) / greatest(b - a, 1e-8)), 4) AS percentile, round(sum(abs((x - m) / (s + 1e-8))), 4) AS standardized FROM v JOIN q USING (image) GROUP BY ALL""")
+def image_scalings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The array scalings over images of real size: the prices of 65,536 order keys."""
+    values = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / _PER_IMAGE).alias("image"), F.col("l_extendedprice").cast("double").alias("x"))
+    images = values.groupBy("image").agg(F.collect_list("x").alias("v"))
+    summed = lambda a, name: F.round(total(a), 4).alias(name)
+    absolute = F.transform(normalise.standardize("v"), F.abs)
+    return images.select("image", F.size("v").cast("long").alias("n"), summed(normalise.unit_range("v"), "unit_range"), summed(normalise.minmax("v"), "minmax"), summed(normalise.percentile_minmax("v"), "percentile"), summed(absolute, "standardized"))
+
+
 @query("integer_scale", "SELECT p_partkey, round(p_size / 255.0::DOUBLE, 9) AS as_uint8, round((p_size + 128) / 255.0::DOUBLE, 9) AS as_int8 FROM part")
 def integer_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(normalise.integer_scale("p_size", "uint8"), 9).alias("as_uint8"), F.round(normalise.integer_scale("p_size", "int8"), 9).alias("as_int8"))

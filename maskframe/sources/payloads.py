@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskframe.functions.arrays import bind, bind_fields
+from maskframe.functions.normalise import unit_range
+
 #: NIfTI-1 data type codes.
 NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".gif", ".dcm", ".dicom")
@@ -126,7 +129,6 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def rescale_dicom(data: str, slope: str, intercept: str, photometric: str) -> Column:
     """Stored values to [0, 1]: slope (0 or null: 1) and intercept, MONOCHROME1 turned over, min-max."""
     k = F.when(F.coalesce(F.col(slope), F.lit(0.0)) == 0, 1.0).otherwise(F.col(slope))
-    v = F.transform(data, lambda x: x * k + F.coalesce(F.col(intercept), F.lit(0.0)))
-    turned = F.when(F.col(photometric) == "MONOCHROME1", F.transform(v, lambda x: F.array_max(v) - x)).otherwise(v)
-    low, high = F.array_min(turned), F.array_max(turned)
-    return F.transform(turned, lambda x: F.when(high > low, (x - low) / (high - low)).otherwise(0.0))
+    values = F.transform(data, lambda x: x * k + F.coalesce(F.col(intercept), F.lit(0.0)))
+    over = lambda v: bind_fields(lambda s: F.transform(s["v"], lambda x: s["top"] - x), v=v, top=F.array_max(v))
+    return unit_range(bind(values, lambda v: F.when(F.col(photometric) == "MONOCHROME1", over(v)).otherwise(v)))

@@ -61,7 +61,7 @@ def test_thresholds(spark):
     assert [r["score"] for r in metrics.dice(metrics.channels(categorical, "onehot", 0.9)).where("class_id = 1").collect()] == [1]
     binary = images(spark, ([[0.6] * 4], [[1.0] * 4]))
     assert one(metrics.dice(metrics.channels(binary, threshold=0.5))) == 1
-    assert one(metrics.dice(metrics.channels(binary, threshold=0.9))) == 0
+    assert one(metrics.dice(metrics.channels(binary, threshold=0.9), smooth=0.0)) == 0
     assert one(metrics.dice(metrics.channels(images(spark, ([[0.0, 1.0], [1.0, 0.0]], [[1.0, 0.0]])), "multiclass"))) == 1
     with pytest.raises(Exception, match="not finite"):
         metrics.channels(images(spark, ([[math.nan]], [[1.0]]))).collect()
@@ -107,3 +107,9 @@ def test_progress_and_average(spark):
             shadow = math.sin(k) if shadow is None else decay * shadow + (1 - decay) * math.sin(k)
         got = {r["step"]: r["shadow"] for r in reporting.moving_average(values, decay, start_after=-1).collect()}
         assert got[n - 1] == pytest.approx(shadow)
+
+
+def test_dice_of_nothing_is_one_by_default(spark):
+    nothing = metrics.channels(images(spark, ([[0.0, 0.0]], [[0.0, 0.0]])))
+    assert one(metrics.dice(nothing)) == 1 and one(metrics.soft_dice(nothing)) == 1
+    assert one(metrics.dice(nothing, smooth=0.0)) == 0

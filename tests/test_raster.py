@@ -125,3 +125,39 @@ def test_affine(spark):
     assert first(spark.range(1), raster.intrinsics(F.lit(10.0), F.lit(2.0), F.lit(2.0), F.lit(0.0), F.lit(0.0), 4, 6)) == pytest.approx([0.2, 0, -0.6, 0, 0.2, -0.4, 0, 0, 1])
     for n, size, u, want in ((10, 4, 0.99, 6), (4, 10, 0.0, 0), (4, 10, 0.99, -6)):
         assert first(spark.range(1), raster.crop_offset(F.lit(n), size, F.lit(u))) == want
+
+
+def test_equalize_by_hand():
+    flat = kernels.equalize_tiles(np.full((4, 4), 0.5), 40.0, (1, 1))  # limit 2: 2 stay in bin 127, 14 go to bins 0 to 13
+    assert flat == pytest.approx(np.ones((4, 4)))
+    halves = np.array([[1.0, 1, 0, 0], [1, 1, 0, 0]])  # two tiles, unclipped: bin 0 maps to 0 in the left one and to 1 in the right one
+    assert kernels.equalize_tiles(halves, 256.0, (1, 2)) == pytest.approx(np.array([[1, 1, 0.5, 1]] * 2))
+    steps = np.array([[0.0, 0.999, 0.25, 0.5]] * 4)  # bins 0, 254, 63 and 127, of 4 each
+    assert kernels.equalize_tiles(steps, 256.0, (1, 1))[0] * 255 == pytest.approx([63, 255, 127, 191])
+    odd = kernels.equalize_tiles(np.random.default_rng(3).random((3, 5)), 40.0, (8, 8))
+    assert odd.shape == (3, 5)
+    with pytest.raises(ValueError):
+        kernels.equalize_tiles(flat, 0.0, (1, 1))
+
+
+def test_removal_on_computed_masks(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.random((40, 50)), (rng.random((40, 50)) < 0.01) * 1.0
+    y, x = np.nonzero(b)
+    yy, xx = np.mgrid[:40, :50]
+    near = (((yy[..., None] - y) ** 2 + (xx[..., None] - x) ** 2) <= 9).any(axis=-1)
+    df = spark.createDataFrame([(a.ravel().tolist(), b.ravel().tolist())], "a array<double>, b array<double>")
+    assert first(df, raster.remove_near("a", "b", F.lit(50), 0.5, 3.0)) == ((a > 0.5) & ~near).astype(float).ravel().tolist()
+    assert first(df, raster.remove_near("a", F.transform("b", lambda v: v * 0), F.lit(50), 0.5, 3.0)) == (a > 0.5).astype(float).ravel().tolist()
+
+
+def test_scalings_are_linear_in_pixels(spark):
+    """An image of 512 x 512 through every scaling; time by pixel squared would not end here."""
+    n = 512 * 512
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i * 7919 % 10_007).cast("double")).alias("a"))
+    x = np.arange(n) * 7919 % 10_007
+    lo, hi = np.percentile(x, [0.5, 99.5])
+    want = {"unit_range": x / 10_006, "minmax": x / 10_006, "percentile_minmax": (np.clip(x, lo, hi) - lo) / (hi - lo), "standardize": (x - x.mean()) / x.std(ddof=1), "softmax": np.exp(x - 10_006.0) / np.exp(x - 10_006.0).sum()}
+    for name, expected in want.items():
+        got = df.select(F.transform(getattr(normalise, name)("a"), lambda y: y * y).alias("v")).select(F.aggregate("v", F.lit(0.0), lambda s, y: s + y)).first()[0]
+        assert got == pytest.approx((expected**2).sum()), name
