@@ -1,14 +1,16 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 Every rule is a regular expression with the literal tokens (runs of a-z, 0-9) that any URL it
-matches must have.  Tokens are counted over all URLs, each rule is filed under its rarest one,
-and a URL's own tokens fetch the few rules whose expressions then run.
+matches must have.  A literal that may be part of a longer token gives its runs of GRAM characters
+instead.  Tokens and runs are counted over all URLs, each rule is filed under its rarest one, and a
+URL's own tokens, and their runs, fetch the few rules whose expressions then run.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -29,7 +31,13 @@ PATTERNS = [
 #: Rules are broadcast; more than this many are refused rather than sent to every executor.
 MAX_RULES = 200_000
 
+#: Characters of the runs that stand for a literal inside a longer token.
+GRAM = 3
+
 _TOKEN = re.compile("[a-z0-9]+")
+#: One part of an expression (group, class, escape or character) and what says how often it comes.
+_PART = re.compile(r"(\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|\[\^?\]?(?:[^\]\\]|\\.)*\]|\\.|.)([?*+]|\{[^}]*\})?", re.S)
+_UNKNOWN = "\x00"
 
 
 class Rule(NamedTuple):
@@ -59,23 +67,42 @@ def _whole_tokens(literal: str) -> tuple[str, ...]:
 
 
 def host_rule(host: str, path: str, verdict: str) -> Rule:
-    return Rule(host + path, rf"^://(?:[^/?#]*\.)?{re.escape(lower_ascii(host))}{re.escape(path)}", _whole_tokens(host + path), verdict, len(host + path))
+    return Rule(host + path, rf"^://(?:[^/?#]*\.)?{re.escape(lower_ascii(host))}(?=/|\Z){re.escape(path)}", _whole_tokens(host + (path or "/")), verdict, len(host + path))
+
+
+def _literals(pattern: str) -> str:
+    """The characters that every match must have, in order; _UNKNOWN where anything or nothing may stand."""
+    out = ""
+    for part, times in _PART.findall(pattern):
+        if part == "|":
+            return ""
+        if part[0] == "\\" and not part[1].isalnum():
+            part = part[1]
+        elif part in ".^$":
+            part = _UNKNOWN
+        out += part if len(part) == 1 and not times else _UNKNOWN
+    return out
+
+
+def grams(token: str) -> set[str]:
+    """Runs of GRAM characters, marked apart from whole tokens."""
+    return {"~" + token[k : k + GRAM] for k in range(len(token) - GRAM + 1)}
 
 
 def pattern_rule(name: str, pattern: str) -> Rule:
-    """A blocking expression; its tokens are the literal ones it can't match without."""
-    bare = re.sub(r"\((?:[^()]|\([^()]*\))*\)[?*]?|\[[^\]]*\][*+?]?|\\.", "\x00", pattern)
-    tokens = tuple(m[0] for m in _TOKEN.finditer(bare) if _ended(bare, m.start() - 1) and _ended(bare, m.end()))
-    return Rule(name, pattern, tokens, "block", 0)
+    """A blocking expression; its tokens are the whole ones it can't match without, or else runs of its literals."""
+    bare = _literals(pattern)
+    whole = tuple(m[0] for m in _TOKEN.finditer(bare) if _ended(bare, m.start() - 1) and _ended(bare, m.end()))
+    return Rule(name, pattern, whole or tuple(sorted({g for m in _TOKEN.finditer(bare) for g in grams(m[0])})), "block", 0)
 
 
 def _ended(bare: str, k: int) -> bool:
     """Whether a token next to this place of an expression can't go on in the URL."""
-    return 0 <= k < len(bare) and not bare[k].isalnum() and bare[k] != "\x00"
+    return 0 <= k < len(bare) and not bare[k].isalnum() and bare[k] != _UNKNOWN
 
 
 class RuleIndex:
-    """Rules by their rarest token; those without a usable token are tried on every URL."""
+    """Rules by their rarest token or run; only those without a literal of GRAM characters are tried on every URL."""
 
     def __init__(self, rules: list[Rule], counts: dict[str, int]):
         self.by_token: dict[str, list[tuple[Rule, re.Pattern]]] = {}
@@ -86,10 +113,14 @@ class RuleIndex:
                 self.by_token.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(made)
             else:
                 self.always.append(made)
+        self.has_grams = any(t[0] == "~" for t in self.by_token)
 
     def candidates(self, lower: str) -> Iterator[tuple[Rule, re.Pattern]]:
         yield from self.always
-        for token in set(_TOKEN.findall(lower)) & self.by_token.keys():
+        tokens = set(_TOKEN.findall(lower))
+        if self.has_grams:
+            tokens = tokens.union(*map(grams, tokens))
+        for token in tokens & self.by_token.keys():
             yield from self.by_token[token]
 
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, str | None, int]:
@@ -117,15 +148,19 @@ def filter_urls(pages: DataFrame, host_rules=HOST_RULES, patterns=PATTERNS) -> D
     rule's; else block if a pattern matches, else allow), pattern (which, else null) and n_tried
     (expressions run).  A null URL or one without ``://`` has empty host and path and meets no
     host rule.  Repeated rows are judged each on their own, a null page_id is carried through,
-    other columns are not read.  Token counts take one small aggregation (only tokens of rules
-    are counted); judging is one pass without a shuffle.
+    other columns are not read.  Token counts take one small aggregation (only tokens and runs of
+    rules are counted); judging is one pass without a shuffle.
     """
     rules = [host_rule(*r) for r in host_rules] + [pattern_rule(*p) for p in patterns]
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are broadcast")
     spark = pages.sparkSession
     wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})] or [("",)], "token string")
-    tokens = pages.select(F.explode(F.array_distinct(F.split(F.lower("url"), "[^a-z0-9]+"))).alias("token"))
+    found = F.split(F.translate(F.col("url").cast("string"), ascii_uppercase, ascii_lowercase), "[^a-z0-9]+")
+    if any(t[0] == "~" for r in rules for t in r.tokens):
+        runs = F.transform(F.filter(found, lambda t: F.length(t) >= GRAM), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - GRAM + 1), lambda k: F.concat(F.lit("~"), F.substring(t, k, F.lit(GRAM)))))
+        found = F.concat(found, F.flatten(runs))
+    tokens = pages.select(F.explode(F.array_distinct(found)).alias("token"))
     counts = dict(tokens.join(F.broadcast(wanted), "token").groupBy("token").count().collect())
     shared = spark.sparkContext.broadcast((rules, counts))
     made: list[RuleIndex] = []

@@ -536,6 +536,20 @@ def test_urls(spark, sf_dir):
     assert tried < len(url_filters.HOST_RULES + url_filters.PATTERNS) / 2
 
 
+def test_no_url_rule_is_tried_everywhere():
+    rules = [url_filters.host_rule(*r) for r in url_filters.HOST_RULES] + [url_filters.pattern_rule(*p) for p in url_filters.PATTERNS]
+    index = url_filters.RuleIndex(rules, {})
+    assert not index.always and index.judge("http://plain.net/a?b=c")[5] == 0
+    assert index.judge("http://my-casinos.net/")[4] == "casino" and index.judge("http://a.spam-farm.net/")[4] == "spam-farm"
+    tokens = lambda pattern: url_filters.pattern_rule("x", pattern).tokens
+    assert tokens(r"://([^/?#]*\.)?spam-farm\.") == ("farm",)
+    assert tokens("[?&]utm_source=feed(&|#|$)") == ("source",)
+    assert tokens("/abcd?/") == ("~abc",) and tokens("-ab+c-") == () and tokens("-abc-|-def-") == () and tokens(r"-abc\d") == ("~abc",)
+    assert tokens(r"/x\.?abc/") == ("~abc",)
+    one = url_filters.RuleIndex([url_filters.host_rule("org", "", "block")], {})
+    assert [one.judge(u)[3] for u in ("http://a.org", "http://a.org/x", "http://organic.net")] == ["block", "block", "allow"]
+
+
 def test_urls_equal_sql(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
