@@ -8,12 +8,13 @@ adding shards, edits the map: only slots that must move do, and the version goes
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskframe.llm.common import cut, documents
+from maskframe.llm.common import checkpoint_folder, cut, documents
 
 SLOTS = 8192
 SHARDS = 40
@@ -73,6 +74,15 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> list
     return sorted((tuple(r) for r in stored.where(F.col("version") == version).collect()), key=lambda r: r[1])
 
 
+def next_map(spark: SparkSession, slot_bytes: dict[int, int], shards: int, path: str, slots: int = SLOTS) -> list[tuple[int, int, int, int]]:
+    """Store the next version for these bytes, and read it: the latest stored one edited by ``rebalance``, or version 1 where ``path`` is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stored = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    made = rebalance(read_map(spark, path), slot_bytes, shards) if stored else slot_map(slot_bytes, shards, slots)
+    write_map(spark, made, path)
+    return read_map(spark, path, made[0][0])
+
+
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and virtual slot of every record; the text is not kept."""
     text = F.coalesce("text", F.lit(""))
@@ -85,13 +95,14 @@ def bytes_by_slot(records: DataFrame) -> dict[int, int]:
     return {r[0]: r[1] for r in records.groupBy("virtual_slot").agg(F.sum("size")).collect()}
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, current: list[tuple[int, int, int, int]] | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Every record with its shard, by the law ``bytes``: summed sizes of shards are near equal.
 
     Returns doc_id, size (UTF-8 bytes of the text and 16), text_crc32 (0 for null), law, shard,
     slot (place of the record in its shard, gapless from 0), grown_shard (null: the law is not
-    ``key``), virtual_slot and map_version.  ``current``, a stored map, is edited by
-    ``rebalance``; without one version 1 is made.
+    ``key``), virtual_slot and map_version.  ``path`` is the folder of the stored maps: its latest
+    version is edited by ``rebalance``, or version 1 is made where it is not there yet, and the new
+    version is stored and read back.  Without a path the map is stored in the checkpoint folder.
 
     A null text takes 16 bytes; null ids hash like any value.  A record's virtual slot comes from
     its id, checksum and size, so records of one text spread over slots; exact repeats of a row
@@ -103,7 +114,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, c
     spark = docs.sparkSession
     records = cut(sized(docs, slots).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")))
     slot_bytes = bytes_by_slot(records)
-    made = rebalance(current, slot_bytes, shards) if current else slot_map(slot_bytes, shards, slots)
+    made = next_map(spark, slot_bytes, shards, path or f"{checkpoint_folder(spark)}/shard-maps-{uuid.uuid4().hex}", slots)
     where = F.broadcast(spark.createDataFrame(made, _MAP).select("virtual_slot", "shard"))  # one row a slot
     parts = records.groupBy("virtual_slot", "part").agg(F.count("*").alias("n")).join(where, "virtual_slot")
     offset = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "part").rowsBetween(Window.unboundedPreceding, -1))

@@ -589,5 +589,8 @@ def test_shards_are_even_and_maps_move_little(spark, tmp_path):
     for rows in (first, grown):
         sharding.write_map(spark, rows, path)
     assert sharding.read_map(spark, path) == grown and sharding.read_map(spark, path, 1) == first
-    again = sharding.shard_documents(docs, 41, current=first)
-    assert {r["map_version"] for r in again.select("map_version").distinct().collect()} == {2}
+    own = str(tmp_path / "own")
+    assert {r[0] for r in sharding.shard_documents(docs, path=own).select("map_version").distinct().collect()} == {1}
+    again = sharding.shard_documents(docs, 41, path=own).select("virtual_slot", "shard", "map_version").distinct().collect()
+    assert sharding.read_map(spark, own, 1) == first and sharding.read_map(spark, own) == grown
+    assert {r[2] for r in again} == {2} and all(grown[r[0]][2] == r[1] for r in again)
