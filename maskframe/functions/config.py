@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from fractions import Fraction
 from math import gcd, lcm
 
@@ -48,6 +49,51 @@ def override(base: dict, dotted: dict) -> dict:
     return out
 
 
+def load_unique(text: str) -> dict:
+    """JSON settings in which a key that stands twice in a mapping is an error."""
+
+    def unique(pairs: list[tuple[str, object]]) -> dict:
+        out = dict(pairs)
+        if len(out) < len(pairs):
+            raise ValueError(f"keys stand twice: {sorted({k for k, _ in pairs if [x for x, _ in pairs].count(k) > 1})}")
+        return out
+
+    return json.loads(text, object_pairs_hook=unique)
+
+
+def parse_overrides(texts: list[str]) -> dict:
+    """Dotted keys and values of KEY=VALUE texts: JSON values, anything else as it is written; the last of a key counts."""
+    out = {}
+    for text in texts:
+        key, sign, value = text.partition("=")
+        if not sign or not key.strip():
+            raise ValueError(f"{text!r} is not KEY=VALUE")
+        try:
+            out[key.strip()] = load_unique(value)
+        except json.JSONDecodeError:
+            out[key.strip()] = value.strip()
+    return out
+
+
+def inherit(name: str, load: Callable[[str], dict], seen: tuple[str, ...] = ()) -> dict:
+    """The settings that ``load`` gives for a name, merged over those of their ``_base_`` (one name or several, later ones win)."""
+    if name in seen:
+        raise ValueError("settings inherit from themselves: " + " -> ".join([*seen, name]))
+    own = dict(load(name))
+    bases = own.pop("_base_", None) or []
+    out: dict = {}
+    for base in [bases] if isinstance(bases, str) else bases:
+        out = merge(out, inherit(base, load, (*seen, name)))
+    return merge(out, own)
+
+
+def threshold(value: float) -> float:
+    """A finite number from 0 to 1."""
+    if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value <= 1:
+        raise ValueError(f"threshold {value!r} is not within 0 to 1")
+    return float(value)
+
+
 def missing(data: dict) -> list[str]:
     """Dotted keys whose value is still the placeholder "?"."""
     return sorted(k for k, v in flatten(data).items() if v == "?")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -102,6 +103,41 @@ def standardize(a: ColumnLike, eps: float = EPS) -> Column:
     return bind(centred, lambda c: bind_fields(lambda s: F.transform(s["c"], lambda x: x / s["by"]), c=c, by=deviation(c)))
 
 
+#: Scalings that settings may name.
+SCHEMES = {"standardize": standardize, "minmax": minmax, "percentile_minmax": percentile_minmax}
+
+
+def normalisation(settings: dict | None) -> dict:
+    """scheme, percentiles and eps of ``train.normalization``.
+
+    Without that block: standardize. A block without a scheme: percentile_minmax from 0.5 to 99.5.
+    Unknown keys, schemes, percentiles that don't ascend within 0 to 100 and an eps that is not
+    positive and finite are errors; percentiles are null for the other schemes.
+    """
+    block = ((settings or {}).get("train") or {}).get("normalization")
+    if block is None:
+        return {"scheme": "standardize", "percentiles": None, "eps": EPS}
+    if unknown := sorted(set(block) - {"scheme", "percentiles", "eps"}):
+        raise ValueError(f"unknown keys {unknown}")
+    scheme, eps, ends = block.get("scheme", "percentile_minmax"), block.get("eps", EPS), block.get("percentiles")
+    if scheme not in SCHEMES:
+        raise ValueError(f"scheme {scheme!r} is none of {sorted(SCHEMES)}")
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+    if not number(eps) or eps <= 0:
+        raise ValueError(f"eps {eps!r} is not positive and finite")
+    if ends is None and scheme == "percentile_minmax":
+        ends = (0.5, 99.5)
+    if ends is not None and not (len(ends) == 2 and all(map(number, ends)) and 0 <= ends[0] < ends[1] <= 100):
+        raise ValueError(f"percentiles {ends!r}")
+    return {"scheme": scheme, "percentiles": tuple(map(float, ends)) if scheme == "percentile_minmax" else None, "eps": float(eps)}
+
+
+def normalised(a: ColumnLike, settings: dict | None) -> Column:
+    """An image scaled as the settings say."""
+    how = normalisation(settings)
+    return SCHEMES[how["scheme"]](a, *(how["percentiles"] or ()), eps=how["eps"])
+
+
 def finite_or_zero(a: ColumnLike) -> Column:
     inf = F.lit(float("inf"))
     return F.transform(doubles(a), lambda x: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == inf), F.lit(0.0)).otherwise(x))

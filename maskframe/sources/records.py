@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskframe.functions.arrays import finite
+from maskframe.functions.arrays import ColumnLike, col, finite
 from maskframe.operators.raster import determinant
 
 RECORD = T.StructType([
@@ -48,6 +48,61 @@ def stored_label_issue(names: str = "stored_labels") -> Column:
     )
 
 
+# Attributes of an opened package: a map of strings, lists and maps as their own columns.
+
+#: The type of a package of each modality, and the kinds of stored labels.
+PACKAGE_TYPES = {"ct": "ct-seg", "xray": "xray-seg"}
+LABEL_STORAGE = ("indexed_label_mask", "overlapping_channel_mask")
+
+
+def _attribute(attrs: ColumnLike, *names: str) -> Column:
+    return F.coalesce(*(F.try_element_at(col(attrs), F.lit(n)) for n in names))
+
+
+def identity_issue(attrs: ColumnLike, requested: ColumnLike) -> Column:
+    """dataset_name, or where that key is absent dataset, must be the requested name; clean_dataset must be true if set. Null if nothing is wrong."""
+    a = col(attrs)
+    name = F.when(F.map_contains_key(a, "dataset_name"), _attribute(a, "dataset_name")).otherwise(_attribute(a, "dataset"))
+    unclean = F.map_contains_key(a, "clean_dataset") & ~_attribute(a, "clean_dataset").eqNullSafe(F.lit("true"))
+    return F.when(~name.eqNullSafe(col(requested)), "another dataset").when(unclean, "not a clean dataset")
+
+
+def modality_issue(attrs: ColumnLike, modality: ColumnLike, schema_name: str) -> Column:
+    """Packages whose schema_name is the given one must have the modality, and its type; others are not checked."""
+    kind = F.try_element_at(F.create_map(*(F.lit(x) for kv in PACKAGE_TYPES.items() for x in kv)), col(modality))
+    differs = ~_attribute(attrs, "modality").eqNullSafe(col(modality)) | ~_attribute(attrs, "dataset_type").eqNullSafe(kind)
+    return F.when(_attribute(attrs, "schema_name") == schema_name, F.when(kind.isNull(), "modality unknown").when(differs, "another modality or type"))
+
+
+def label_storage_issue(attrs: ColumnLike) -> Column:
+    """seg_storage, if set, must be one of LABEL_STORAGE."""
+    return F.when(~_attribute(attrs, "seg_storage").isin(*LABEL_STORAGE), "unknown label storage")
+
+
+def mask_label_issue(names: ColumnLike, ids: ColumnLike) -> Column:
+    """The ids of channel masks, if set, must be 0, 1, 2, ... beside their names."""
+    identity = F.transform(col(names), lambda _, k: k.cast("long"))
+    return F.when(col(ids).isNotNull() & ~col(ids).cast("array<long>").eqNullSafe(identity), "mask ids are not 0, 1, 2, ...")
+
+
+def payload_key(name: str, containers: list[ColumnLike], attrs: ColumnLike, aliases: tuple[str, ...] = (), fallback: str | None = None) -> Column:
+    """Field of a payload such as ``image``, null if nothing names it.
+
+    ``containers`` are maps (payload_keys, payload_fields, keys) looked up in order by ``name_key``
+    and ``name_field``, those of the aliases, and the bare names; ``attrs`` only by the names with
+    an ending; then comes the fallback.
+    """
+    keyed = [n + end for n in (name, *aliases) for end in ("_key", "_field")]
+    return F.coalesce(*(_attribute(c, *keyed, name, *aliases) for c in containers), _attribute(attrs, *keyed), F.lit(fallback).cast("string"))
+
+
+def subject_of(sample_key: ColumnLike, metadata: ColumnLike, grouping: str) -> Column:
+    """The sample itself, or with grouping ``subject`` what its metadata say: subject_id, subject or subject_key."""
+    if grouping not in ("sample", "subject"):
+        raise ValueError(grouping)
+    return col(sample_key) if grouping == "sample" else F.coalesce(F.trim(_attribute(metadata, "subject_id", "subject", "subject_key")), col(sample_key))
+
+
 def _issues(df: DataFrame, condition: Column, issue: str, key: str = "sample_id") -> DataFrame:
     return df.where(condition).select(F.col(key).cast("string").alias("key"), F.lit(issue).alias("issue"))
 

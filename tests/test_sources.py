@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from maskframe.functions import config
 from maskframe.sources import packages, payloads, records
 
 
@@ -107,3 +108,40 @@ def test_object_arrays_are_refused():
     np.save(out, np.array([None], object))
     with pytest.raises(ValueError):
         payloads.decode_npy(out.getvalue())
+
+
+def test_package_attributes(spark):
+    def one(column, **values):
+        row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'array<string>' if k == 'names' else 'array<int>' if k == 'ids' else 'map<string,string>' if isinstance(v, dict) else 'string'}" for k, v in values.items()))
+        return row.select(column).first()[0]
+
+    identity = records.identity_issue("a", F.lit("D"))
+    assert [one(identity, a=a) for a in ({"dataset_name": "D"}, {"dataset": "D", "clean_dataset": "true"}, {"dataset_name": None, "dataset": "D"}, {}, {"dataset": "D", "clean_dataset": None})] == [None, None, "another dataset", "another dataset", "not a clean dataset"]
+    kind = lambda modality: records.modality_issue("a", F.lit(modality), "training")
+    stored = {"schema_name": "training", "modality": "ct", "dataset_type": "ct-seg"}
+    assert [one(kind("ct"), a=stored), one(kind("xray"), a=stored), one(kind("mr"), a=stored), one(kind("mr"), a={})] == [None, "another modality or type", "modality unknown", None]
+    assert [one(records.label_storage_issue("a"), a=a) for a in ({}, {"seg_storage": "indexed_label_mask"}, {"seg_storage": "x"})] == [None, None, "unknown label storage"]
+    mask = records.mask_label_issue("names", "ids")
+    assert [one(mask, names=["a", "b"], ids=i) for i in (None, [0, 1], [1, 0], [0], [0, None])] == [None, None] + ["mask ids are not 0, 1, 2, ..."] * 3
+    key = lambda k, a: one(records.payload_key("label", ["k"], "a", ("seg",), "mask"), k=k, a=a)
+    assert [key({"seg": "s", "label_field": "f"}, {}), key({"seg": "s"}, {"label_key": "t"}), key({}, {"label": "bare", "seg_field": "t"}), key({}, {"label": "bare"})] == ["f", "s", "t", "mask"]
+    subject = lambda m, how="subject": one(records.subject_of(F.lit("key"), "m", how), m=m)
+    assert [subject({"subject": "p", "subject_key": "q"}), subject({"subject_id": " r "}), subject({}), subject({"subject": "p"}, "sample")] == ["p", "r", "key", "key"]
+
+
+def test_settings_files():
+    assert config.load_unique('{"a": {"b": 1}, "c": {"b": 2}}') == {"a": {"b": 1}, "c": {"b": 2}}
+    with pytest.raises(ValueError, match="twice"):
+        config.load_unique('{"a": {"b": 1, "b": 2}}')
+    assert config.parse_overrides(["a.b=1", "c=x=y", "d=[1, true]", "e=", "a.b=2"]) == {"a.b": 2, "c": "x=y", "d": [1, True], "e": ""}
+    for bad in ("a", "=1"):
+        with pytest.raises(ValueError, match="KEY=VALUE"):
+            config.parse_overrides([bad])
+    files = {"x": {"_base_": "y", "a": {"b": 1}}, "y": {"_base_": ["z"], "a": {"b": 0, "c": 2}}, "z": {"d": 3}, "p": {"_base_": "q"}, "q": {"_base_": "p"}}
+    assert config.inherit("x", files.get) == {"a": {"b": 1, "c": 2}, "d": 3}
+    with pytest.raises(ValueError, match="p -> q -> p"):
+        config.inherit("p", files.get)
+    assert config.threshold(0.5) == 0.5
+    for bad in (-0.1, 1.1, float("nan"), True, "1"):
+        with pytest.raises(ValueError):
+            config.threshold(bad)
