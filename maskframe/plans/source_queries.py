@@ -15,8 +15,12 @@ from maskframe.streaming import events
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder, or a temporary one on a single machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskframe-")
+    """A new folder under the shared checkpoint folder, or a temporary one where the session runs on this machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="maskframe-")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -49,6 +53,28 @@ def record_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.unionByName(records.record_issues(halved).where("issue = 'sample_id stands twice'"))
 
 
+@query("opened_packages", """SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN c_custkey::VARCHAR ELSE c_name END AS subject,
+CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN 'stored' ELSE 'image' END AS image_key,
+CASE WHEN c_mktsegment <> 'BUILDING' THEN 'another dataset' WHEN c_custkey % 7 = 0 THEN 'not a clean dataset' END AS identity,
+CASE WHEN c_custkey % 2 = 0 AND c_nationkey % 2 = 0 THEN 'another modality or type' END AS modality,
+CASE WHEN c_nationkey % 3 = 1 THEN 'unknown label storage' END AS storage FROM customer""")
+def opened_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as attributes of packages: the checks on opening one, its image field and its subject."""
+    key, nation, name = (F.col(c) for c in ("c_custkey", "c_nationkey", "c_name"))
+    text = lambda *pairs: F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+    subject = text(*(x for k, n in enumerate(("subject_id", "subject", "subject_key")) for x in (F.lit(n), F.when(key % 4 == k, name))))
+    attrs = text(
+        F.lit("dataset_name"), F.col("c_mktsegment"), F.lit("clean_dataset"), F.when(key % 7 == 0, "false").otherwise("true"), F.lit("image_key"), F.when(key % 3 == 1, "stored"),
+        F.lit("schema_name"), F.when(key % 2 == 0, "training"), F.lit("modality"), F.when(nation % 2 == 0, "ct").otherwise("xray"), F.lit("dataset_type"), F.lit("xray-seg"),
+        F.lit("seg_storage"), F.element_at(F.array(F.lit("indexed_label_mask"), F.lit("other"), F.lit("overlapping_channel_mask")), (nation % 3 + 1).cast("int")),
+    )
+    read = table(spark, sf_dir, "customer").select("c_custkey", subject.alias("metadata"), attrs.alias("attrs"), text(F.lit("image"), F.when(key % 3 == 0, name)).alias("payload_keys"))
+    return read.select(
+        "c_custkey", records.subject_of(F.col("c_custkey").cast("string"), "metadata", "subject").alias("subject"), records.payload_key("image", ["payload_keys"], "attrs", fallback="image").alias("image_key"),
+        records.identity_issue("attrs", F.lit("BUILDING")).alias("identity"), records.modality_issue("attrs", F.lit("xray"), "training").alias("modality"), records.label_storage_issue("attrs").alias("storage"),
+    )
+
+
 @query("crop_metadata", """WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS q, embedding FROM embeddings), v AS (SELECT vec_id, CASE WHEN embedding[q + 1] > 0.15 THEN 2 WHEN embedding[q + 1] > 0.1 THEN 1 ELSE 0 END AS label FROM e)
 SELECT vec_id, string_agg(DISTINCT label::VARCHAR, ',' ORDER BY label::VARCHAR) FILTER (label > 0) AS ids, CASE WHEN max(label) = 0 THEN 'no labels' END AS issue FROM v GROUP BY ALL""")
 def crop_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,3 +161,16 @@ def test_scalings_are_linear_in_pixels(spark):
     for name, expected in want.items():
         got = df.select(F.transform(getattr(normalise, name)("a"), lambda y: y * y).alias("v")).select(F.aggregate("v", F.lit(0.0), lambda s, y: s + y)).first()[0]
         assert got == pytest.approx((expected**2).sum()), name
+
+
+def test_normalisation_settings(spark):
+    block = lambda **b: {"train": {"normalization": b}}
+    assert normalise.normalisation(None) == normalise.normalisation({"train": {}}) == {"scheme": "standardize", "percentiles": None, "eps": 1e-8}
+    assert normalise.normalisation(block()) == {"scheme": "percentile_minmax", "percentiles": (0.5, 99.5), "eps": 1e-8}
+    assert normalise.normalisation(block(scheme="minmax", percentiles=[1, 2], eps=1)) == {"scheme": "minmax", "percentiles": None, "eps": 1.0}
+    for bad in ({"x": 1}, {"scheme": "none"}, {"eps": 0}, {"eps": float("nan")}, {"percentiles": [2, 1]}, {"percentiles": [0, 101]}, {"percentiles": [1]}, {"percentiles": [True, 2]}):
+        with pytest.raises(ValueError):
+            normalise.normalisation(block(**bad))
+    df = arrays(spark, [1, 2, 3, 9])
+    for settings, column in ((None, normalise.standardize("a")), (block(scheme="minmax"), normalise.minmax("a")), (block(percentiles=[10, 90]), normalise.percentile_minmax("a", 10, 90))):
+        assert first(df, normalise.normalised("a", settings)) == first(df, column)
