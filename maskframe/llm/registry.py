@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from maskframe.llm.bpe_codec import op8_bpe_codec
 from maskframe.llm.decontaminate import op4_benchmark_decontamination
+from maskframe.llm.infill import OP11_SQL, op11_fill_in_middle
 from maskframe.llm.language import op5_language_id
 from maskframe.llm.licenses import op6_license_scans
 from maskframe.llm.near_join import OP1_SQL, op1_ngram_jaccard_join
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_codec": op8_bpe_codec,
         "op9_url_filters": op9_url_filters,
         "op10_sharding": op10_sharding,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op7_quality_rules": OP7_SQL, "op9_url_filters": OP9_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op7_quality_rules": OP7_SQL, "op9_url_filters": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
