@@ -91,6 +91,20 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
     """``function`` turns each record batch into batches of ``schema``.
 
     keeps: the start of the keys it asks ``kept`` for; all else that a worker keeps is let go first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if any(not keeps or not key.startswith(keeps) for key in _kept):
+            release()
+        for batch in batches:
+            yield from function(batch)
+
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``function`` turns all record batches of a partition into batches of ``schema``.
+
     The session's batches are brought down to BATCH_BYTES, if they are larger, for good: texts
     differ in length a thousandfold, so a number of rows does not bound a batch, and Spark reads the
     setting only when the result is computed.
@@ -100,10 +114,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Re
         conf.set(name, BATCH_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if any(not keeps or not key.startswith(keeps) for key in _kept):
-            release()
-        for batch in batches:
-            yield from function(batch)
+        yield from function(batches)
         trim()
 
     return df.mapInArrow(run, schema)

@@ -13,6 +13,7 @@ from maskframe.llm.language import op5_language_id
 from maskframe.llm.licenses import op6_license_scans
 from maskframe.llm.near_join import OP1_SQL, op1_ngram_jaccard_join
 from maskframe.llm.quality import OP7_SQL, op7_quality_rules
+from maskframe.llm.resample import OP13_SQL, op13_importance_resampling
 from maskframe.llm.secrets import op3_secret_scans
 from maskframe.llm.sharding import op10_sharding
 from maskframe.llm.token_counts import op2_token_counts
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filters": op9_url_filters,
         "op10_sharding": op10_sharding,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op7_quality_rules": OP7_SQL, "op9_url_filters": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op7_quality_rules": OP7_SQL, "op9_url_filters": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op13_importance_resampling": OP13_SQL}
