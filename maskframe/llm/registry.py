@@ -11,6 +11,7 @@ from maskframe.llm.decontaminate import op4_benchmark_decontamination
 from maskframe.llm.infill import OP11_SQL, op11_fill_in_middle
 from maskframe.llm.language import op5_language_id
 from maskframe.llm.licenses import op6_license_scans
+from maskframe.llm.near_dedup import OP12_SQL, op12_minhash_near_dedup
 from maskframe.llm.near_join import OP1_SQL, op1_ngram_jaccard_join
 from maskframe.llm.quality import OP7_SQL, op7_quality_rules
 from maskframe.llm.resample import OP13_SQL, op13_importance_resampling
@@ -33,9 +34,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filters": op9_url_filters,
         "op10_sharding": op10_sharding,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_minhash_near_dedup": op12_minhash_near_dedup,
         "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL, "op7_quality_rules": OP7_SQL, "op9_url_filters": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op13_importance_resampling": OP13_SQL}
+    return {
+        "op1_ngram_jaccard_join": OP1_SQL,
+        "op7_quality_rules": OP7_SQL,
+        "op9_url_filters": OP9_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op12_minhash_near_dedup": OP12_SQL,
+        "op13_importance_resampling": OP13_SQL,
+    }
