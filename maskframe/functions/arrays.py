@@ -41,6 +41,16 @@ def doubles(a: ColumnLike) -> Column:
     return col(a).cast("array<double>")
 
 
+def folded(channels: ColumnLike, combine: Callable[[Column, Column], Column]) -> Column:
+    """Channels of one length, [channel][pixel], put together pixel by pixel; null without channels."""
+    return bind(col(channels), lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.get(c, F.lit(0)), lambda sofar, x: F.zip_with(sofar, x, combine)))
+
+
+def added(channels: ColumnLike) -> Column:
+    """Sum of channels, pixel by pixel."""
+    return folded(channels, lambda x, y: x + y)
+
+
 def sequence0(n: Column | int) -> Column:
     """0 to n - 1; empty for n = 0."""
     n = n if isinstance(n, Column) else F.lit(n)

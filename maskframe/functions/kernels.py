@@ -79,20 +79,78 @@ def largest_components(sizes: np.ndarray, limit: int, min_relative: float) -> li
     return [k for k in order if sizes[k] >= least][:limit]
 
 
-def distance_to(mask: np.ndarray) -> np.ndarray | None:
-    """Euclidean distance of each pixel to the nearest positive one; None without any."""
+def lower_envelope(heights: np.ndarray) -> np.ndarray:
+    """For each line (row) the least of its parabolas heights[q] + (x - q)^2 at every place x.
+
+    One scan keeps each line's stack of parabolas that are lowest somewhere and where each begins,
+    another reads them off; all lines go through a scan together, so the work is linear in pixels.
+    """
+    lines, n = heights.shape
+    line = np.arange(lines)
+    at = np.zeros((lines, n), np.int64)  # places of the parabolas on the stack
+    begin = np.full((lines, n + 1), np.inf)
+    begin[:, 0] = -np.inf
+    top = np.zeros(lines, np.int64)
+    foot = heights + np.arange(n) ** 2
+    for q in range(1, n):
+        going = line
+        while len(going):
+            v = at[going, top[going]]
+            meet = (foot[going, q] - foot[going, v]) / (2.0 * (q - v))
+            hidden = meet <= begin[going, top[going]]
+            on, meet = going[~hidden], meet[~hidden]
+            top[on] += 1
+            at[on, top[on]] = q
+            begin[on, top[on]] = meet
+            begin[on, top[on] + 1] = np.inf
+            going = going[hidden]
+            top[going] -= 1
+    out, k = np.empty((lines, n)), np.zeros(lines, np.int64)
+    for x in range(n):
+        going = line
+        while len(going):
+            going = going[begin[going, k[going] + 1] < x]
+            k[going] += 1
+        v = at[line, k]
+        out[:, x] = heights[line, v] + (x - v) ** 2
+    return out
+
+
+def squared_distance_to(mask: np.ndarray) -> np.ndarray | None:
+    """Exact squared Euclidean distance of each pixel to the nearest positive one; None without any."""
     if not mask.any():
         return None
     h, w = mask.shape
-    rows = np.full((h, w), np.inf)
+    rows = np.full((h, w), float(h + w))  # more than any distance inside the grid
     for sweep in (range(h), range(h - 1, -1, -1)):
-        last = np.full(w, np.inf)
+        last = np.full(w, float(h + w))
         for y in sweep:
             last = np.where(mask[y], 0, last + 1)
             rows[y] = np.minimum(rows[y], last)
-    x = np.arange(w)
-    across = (x[:, None] - x[None, :]) ** 2
-    return np.sqrt(np.stack([(rows[y][None, :] ** 2 + across).min(axis=1) for y in range(h)]))
+    return lower_envelope(rows**2)
+
+
+def distance_to(mask: np.ndarray) -> np.ndarray | None:
+    """Euclidean distance of each pixel to the nearest positive one; None without any."""
+    squared = squared_distance_to(mask)
+    return None if squared is None else np.sqrt(squared)
+
+
+def outline(mask: np.ndarray) -> np.ndarray:
+    """Positive pixels with a 4-neighbour outside; beyond the border counts as outside."""
+    p = np.pad(mask, 1)
+    return mask & ~(p[:-2, 1:-1] & p[2:, 1:-1] & p[1:-1, :-2] & p[1:-1, 2:])
+
+
+def hausdorff95(pred: np.ndarray, target: np.ndarray) -> float:
+    """The larger of the two directed 95th percentiles of distances between outlines.
+
+    Both masks empty: 0.  One empty: the diagonal of the grid between pixel centres.
+    """
+    a, b = outline(pred), outline(target)
+    if not a.any() or not b.any():
+        return float(np.hypot(pred.shape[0] - 1, pred.shape[1] - 1)) if a.any() or b.any() else 0.0
+    return float(max(np.percentile(distance_to(b)[a], 95), np.percentile(distance_to(a)[b], 95)))
 
 
 def gaussian(image: np.ndarray, sigma: float, size: int) -> np.ndarray:

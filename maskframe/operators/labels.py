@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from maskframe.functions.arrays import bind, bind_fields, sequence0
+from maskframe.operators.stacks import merged_arrays
 
 BACKGROUND = "background"
 
@@ -88,9 +89,7 @@ def project_channels(channels: DataFrame, names: DataFrame, target: DataFrame) -
     names without a target are left out, targets without a source are not made (they are 0).
     """
     named = channels.join(names, "label", "left").withColumn("label", F.coalesce("target_label", "label")).join(target, "label")
-    pixels = named.select("sample_id", "channel", F.posexplode("data").alias("pixel", "value"))
-    merged = pixels.groupBy("sample_id", "channel", "pixel").agg(F.max("value").alias("value"))
-    return merged.groupBy("sample_id", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("pixel", "value"))), lambda x: x["value"]).alias("data"))
+    return merged_arrays(named, ["sample_id", "channel"], "data", "max")
 
 
 def supervised_ids(explained: DataFrame) -> DataFrame:

@@ -6,11 +6,15 @@ Everything up to a score for each sample and class stays in the row; reductions
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from maskframe.functions.arrays import ColumnLike, argmax, bind, bind_fields, col, dot, sequence0, sorted_quantile, total, transpose
+from maskframe.functions import kernels
+from maskframe.functions.arrays import ColumnLike, added, argmax, bind, bind_fields, col, dot, folded, sequence0, total, transpose
 from maskframe.functions.normalise import sigmoid, softmax
 
 EPS = 1e-7
@@ -75,23 +79,19 @@ def surface(mask: ColumnLike, width: ColumnLike) -> Column:
     return F.filter(points, lambda q: ~inner(q))
 
 
+@F.pandas_udf(T.DoubleType())
+def _hausdorff95(p: pd.Series, t: pd.Series, width: pd.Series) -> pd.Series:
+    lit = lambda m, w: np.asarray(m, float).reshape(-1, int(w)) > 0
+    return pd.Series([None if a is None or b is None else kernels.hausdorff95(lit(a, w), lit(b, w)) for a, b, w in zip(p, t, width)], dtype=float)
+
+
 def hd95(rows: DataFrame, width: str = "width") -> DataFrame:
     """95th percentile Hausdorff distance, the larger of the two directed ones; rows are 0/1 masks p and t with their width.
 
-    Both empty: 0.  One empty: the diagonal of the grid between pixel centres.
+    Both empty: 0.  One empty: the diagonal of the grid between pixel centres.  Distances come from
+    an exact transform of each outline, so an image's work is linear in its pixels.
     """
-    w = F.col(width).cast("int")
-    h = (F.size("p") / w).cast("int")
-    s = rows.select("*", surface("p", w).alias("_sp"), surface("t", w).alias("_st"))
-
-    def directed(a: str, b: str) -> Column:
-        far = F.transform(a, lambda u: F.sqrt(F.array_min(F.transform(b, lambda v: ((u["y"] - v["y"]) * (u["y"] - v["y"]) + (u["x"] - v["x"]) * (u["x"] - v["x"])).cast("double")))))
-        return sorted_quantile(far, 0.95)
-
-    diagonal = F.sqrt(((h - 1) * (h - 1) + (w - 1) * (w - 1)).cast("double"))
-    none_p, none_t = F.size("_sp") == 0, F.size("_st") == 0
-    score = F.when(none_p & none_t, 0.0).when(none_p | none_t, diagonal).otherwise(F.greatest(directed("_sp", "_st"), directed("_st", "_sp")))
-    return s.select("sample_id", "class_id", score.alias("score"), total("t").alias("amount"))
+    return rows.select("sample_id", "class_id", _hausdorff95("p", "t", F.col(width).cast("int")).alias("score"), total("t").alias("amount"))
 
 
 # -- reductions -------------------------------------------------------------------------------------------
@@ -154,17 +154,23 @@ def bce(p: ColumnLike, t: ColumnLike, from_logits: bool = True) -> Column:
 def categorical_cross_entropy(images: DataFrame, from_logits: bool = True, class_weights: list[float] | None = None, ignore_index: int | None = None) -> DataFrame:
     """sample_id, loss array: one-hot targets; predictions are logits or log probabilities; pixels of the ignored class are 0."""
     pred, target = F.col("pred").cast("array<array<double>>"), F.col("target").cast("array<array<double>>")
-    logs = transpose(F.transform(transpose(pred), lambda a: F.transform(softmax(a), F.ln))) if from_logits else pred
-    weights = F.array(*map(F.lit, map(float, class_weights))) if class_weights else F.transform(target, lambda _: F.lit(1.0))
-    pixels = sequence0(F.size(F.get(target, F.lit(0))))
-
-    def loss(i: Column) -> Column:
-        terms = F.transform(sequence0(F.size(target)), lambda c: -F.get(F.get(target, c), i) * F.get(F.get(logs, c), i) * F.get(weights, c))
+    if from_logits:  # log softmax, channel by channel: neither pixels nor channels are looked up one by one
+        top = folded(pred, lambda x, y: F.greatest(x, y))
+        norm = lambda m: F.zip_with(m["top"], added(F.transform(m["pred"], lambda c: F.zip_with(c, m["top"], lambda x, t: F.exp(x - t)))), lambda t, s: t + F.ln(s))
+        logs = bind_fields(lambda m: bind_fields(lambda z: F.transform(z["pred"], lambda c: F.zip_with(c, z["norm"], lambda x, n: x - n)), pred=m["pred"], norm=norm(m)), pred=pred, top=top)
+    else:
+        logs = pred
+
+    def loss(m: Column) -> Column:
+        terms = F.zip_with(m["target"], m["logs"], lambda t, p: F.zip_with(t, p, lambda x, y: -x * y))
+        if class_weights:
+            weights = F.array(*map(F.lit, map(float, class_weights)))
+            terms = F.zip_with(terms, weights, lambda c, w: F.transform(c, lambda x: x * w))
         if ignore_index is None:
-            return total(terms)
-        return F.when(F.get(F.get(target, F.lit(ignore_index)), i) > 0, 0.0).otherwise(total(terms))
+            return added(terms)
+        return F.zip_with(added(terms), F.get(m["target"], F.lit(ignore_index)), lambda x, t: F.when(t > 0, 0.0).otherwise(x))
 
-    return images.select("sample_id", F.transform(pixels, loss).alias("loss"))
+    return images.select("sample_id", bind_fields(loss, target=target, logs=logs).alias("loss"))
 
 
 def reduce_pixels(loss: ColumnLike, weights: ColumnLike | None = None, reduction: str = "mean") -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from maskframe.functions import kernels
-from maskframe.functions.arrays import ColumnLike, col, doubles, sequence0
+from maskframe.functions.arrays import ColumnLike, bind, bind_fields, col, doubles, sequence0
+from maskframe.operators.stacks import merged_arrays
 
 DOUBLES = T.ArrayType(T.DoubleType())
 
@@ -47,27 +48,29 @@ def content_box(height: ColumnLike, width: ColumnLike, canvas: int = 256) -> Col
 
 def pad_square(data: ColumnLike, height: ColumnLike, width: ColumnLike, fill: float = 0.0) -> Column:
     """The raster on its padded square, by index arithmetic."""
-    a, h, w = col(data), col(height), col(width)
-    pad = square_padding(h, w)
-    side = F.greatest(h, w)
 
-    def pixel(i: Column) -> Column:
-        y, x = F.floor(i / side).cast("int") - pad["pad_y0"], (i % side) - pad["pad_x0"]
-        return F.when((y >= 0) & (y < h) & (x >= 0) & (x < w), F.get(a, y * w + x)).otherwise(F.lit(fill))
+    def square(s: Column) -> Column:
+        a, h, w, side, pad = (s[n] for n in ("a", "h", "w", "side", "pad"))
+
+        def pixel(i: Column) -> Column:
+            y, x = F.floor(i / side).cast("int") - pad["pad_y0"], (i % side) - pad["pad_x0"]
+            return F.when((y >= 0) & (y < h) & (x >= 0) & (x < w), F.get(a, y * w + x)).otherwise(F.lit(fill))
 
-    return F.transform(sequence0(side * side), pixel)
+        return F.transform(sequence0(side * side), pixel)
+
+    h, w = col(height), col(width)
+    return bind_fields(square, a=col(data), h=h, w=w, side=F.greatest(h, w), pad=square_padding(h, w))
 
 
 def resize_nearest(data: ColumnLike, height: ColumnLike, width: ColumnLike, out_height: int, out_width: int) -> Column:
     """Source pixel floor(place * in / out) of each output pixel."""
-    a, h, w = col(data), col(height), col(width)
-    return F.transform(sequence0(out_height * out_width), lambda i: F.get(a, F.floor(F.floor(i / out_width) * h / out_height).cast("int") * w + F.floor((i % out_width) * w / out_width).cast("int")))
+    source = lambda s: lambda i: F.get(s["a"], F.floor(F.floor(i / out_width) * s["h"] / out_height).cast("int") * s["w"] + F.floor((i % out_width) * s["w"] / out_width).cast("int"))
+    return bind_fields(lambda s: F.transform(sequence0(out_height * out_width), source(s)), a=col(data), h=col(height), w=col(width))
 
 
 def resample_1d(data: ColumnLike, size: int) -> Column:
     """Nearest resampling of one axis."""
-    a = col(data)
-    return F.transform(sequence0(size), lambda i: F.get(a, F.floor(i * F.size(a) / size).cast("int")))
+    return bind(col(data), lambda a: F.transform(sequence0(size), lambda i: F.get(a, F.floor(i.cast("long") * F.size(a) / size).cast("int"))))
 
 
 def _resized(height: int, width: int, how: str):
@@ -89,14 +92,17 @@ def resize_bilinear(data: ColumnLike, height: ColumnLike, width: ColumnLike, out
 
 def crop_or_pad(data: ColumnLike, shape: tuple[Column, Column, Column], size: tuple[int, int, int], offset: tuple[Column, Column, Column], fill: float) -> Column:
     """A window of ``size`` of a 3-D raster from ``offset`` (negative: starts before it), ``fill`` outside."""
-    a, (nx, ny, nz), (sx, sy, sz) = col(data), shape, size
+    sx, sy, sz = size
+
+    def window(s: Column) -> Column:
+        def voxel(i: Column) -> Column:
+            x, y, z = F.floor(i / (sy * sz)).cast("int") + s["ox"], (F.floor(i / sz) % sy).cast("int") + s["oy"], (i % sz) + s["oz"]
+            inside = (x >= 0) & (x < s["nx"]) & (y >= 0) & (y < s["ny"]) & (z >= 0) & (z < s["nz"])
+            return F.when(inside, F.get(s["a"], (x * s["ny"] + y) * s["nz"] + z)).otherwise(F.lit(fill))
 
-    def voxel(i: Column) -> Column:
-        x, y, z = F.floor(i / (sy * sz)).cast("int") + offset[0], (F.floor(i / sz) % sy).cast("int") + offset[1], (i % sz) + offset[2]
-        inside = (x >= 0) & (x < nx) & (y >= 0) & (y < ny) & (z >= 0) & (z < nz)
-        return F.when(inside, F.get(a, (x * ny + y) * nz + z)).otherwise(F.lit(fill))
+        return F.transform(sequence0(sx * sy * sz), voxel)
 
-    return F.transform(sequence0(sx * sy * sz), voxel)
+    return bind_fields(window, a=col(data), **dict(zip(("nx", "ny", "nz"), shape)), **dict(zip(("ox", "oy", "oz"), offset)))
 
 
 def crop_offset(extent: ColumnLike, size: int, u: ColumnLike) -> Column:
@@ -107,8 +113,7 @@ def crop_offset(extent: ColumnLike, size: int, u: ColumnLike) -> Column:
 
 def offset_affine(affine: ColumnLike, z_offset: ColumnLike) -> Column:
     """A row-major 4 x 4 affine with its origin moved along the third axis."""
-    a = doubles(affine)
-    return F.transform(a, lambda v, i: F.when(i.isin(3, 7, 11), v + F.get(a, i - 1) * col(z_offset)).otherwise(v))
+    return bind(doubles(affine), lambda a: F.transform(a, lambda v, i: F.when(i.isin(3, 7, 11), v + F.get(a, i - 1) * col(z_offset)).otherwise(v)))
 
 
 def voxel_to_world(affine: ColumnLike, i: ColumnLike, j: ColumnLike, k: ColumnLike) -> Column:
@@ -131,6 +136,22 @@ def intrinsics(sdd: ColumnLike, delx: ColumnLike, dely: ColumnLike, x0: ColumnLi
     return F.array(one / fx, zero, -cx / fx, zero, one / fy, -cy / fy, zero, zero, one)
 
 
+@F.pandas_udf(DOUBLES)
+def _dense(places: pd.Series, size: pd.Series) -> pd.Series:
+    out = []
+    for at, n in zip(places, size):
+        mask = np.zeros(int(n))
+        if at is not None and len(at):
+            mask[np.asarray(at, np.int64)] = 1
+        out.append(mask)
+    return pd.Series(out)
+
+
+def from_places(places: ColumnLike, size: ColumnLike) -> Column:
+    """A 0/1 mask of ``size`` pixels that is 1 at these places; null places: none."""
+    return _dense(col(places).cast("array<long>"), col(size).cast("int"))
+
+
 # -- filters -----------------------------------------------------------------------------------------------
 
 @F.pandas_udf(DOUBLES)
@@ -183,6 +204,9 @@ def remove_near(data: ColumnLike, other: ColumnLike, width: ColumnLike, threshol
 def _closest(mask: pd.Series, other: pd.Series, h: pd.Series, w: pd.Series, limit: pd.Series, relative: pd.Series) -> pd.Series:
     out = []
     for m, o, a, b, n, r in zip(mask, other, h, w, limit, relative):
+        if m is None:
+            out.append(None)
+            continue
         grid = np.asarray(m, float).reshape(a, b)
         away = None if o is None else kernels.distance_to(np.asarray(o, float).reshape(a, b) > 0)
         labels, sizes = kernels.components(grid > 0)
@@ -208,9 +232,16 @@ def top_components(sizes: DataFrame, by: str, size: str, component: str, limit:
 
 
 def merge_views(views: DataFrame) -> DataFrame:
-    """Mean probability of each pixel over views and members, flipped ones turned back: views(image, channel, flipped, width, p array)."""
-    w = F.col("width").cast("int")
-    back = F.transform(sequence0(F.size("p")), lambda i: F.get("p", F.floor(i / w).cast("int") * w + (w - 1 - i % w)))
-    even = views.select("image", "channel", F.when(F.col("flipped"), back).otherwise(F.col("p")).alias("p"))
-    pixels = even.select("image", "channel", F.posexplode("p").alias("pixel", "p"))
-    return pixels.groupBy("image", "channel", "pixel").agg(F.avg("p").alias("p"))
+    """image, channel, p: mean probabilities over views and members, flipped ones turned back; views(image, channel, flipped, width, p array).
+
+    Views stay arrays: of each image and channel those of a task are added up pixel by pixel, and
+    the tasks' sums after one exchange of a row each.
+    """
+    even = views.select("image", "channel", F.when(F.col("flipped"), flipped("p", "width")).otherwise(doubles("p")).alias("p"))
+    return merged_arrays(even, ["image", "channel"], "p")
+
+
+def flipped(data: ColumnLike, width: ColumnLike) -> Column:
+    """The image turned left to right."""
+    back = lambda s: F.transform(sequence0(F.size(s["a"])), lambda i: F.get(s["a"], F.floor(i / s["w"]).cast("int") * s["w"] + (s["w"] - 1 - i % s["w"])))
+    return bind_fields(back, a=doubles(data), w=col(width).cast("int"))

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from maskframe.functions.arrays import ColumnLike, col, doubles, sequence0
+from maskframe.functions.arrays import ColumnLike, bind_fields, col, doubles, sequence0
 from maskframe.operators.labels import background_complement
-from maskframe.operators.raster import voxel_to_world
+from maskframe.operators.raster import flipped, voxel_to_world
 
 
 def uniform(seed: int, *keys: ColumnLike, low: float = 0.0, high: float = 1.0) -> Column:
@@ -106,18 +106,22 @@ def branch(p_first: float, p_second: float, seed: int, *keys: ColumnLike) -> Col
 
 def aspect_crop(data: ColumnLike, height: ColumnLike, width: ColumnLike, rows: ColumnLike, columns: ColumnLike) -> Column:
     """Zero outside the centred strip of rows x columns; the strip's size is brought to the parity of the image's."""
-    a, h, w = doubles(data), col(height), col(width)
+    h, w = col(height), col(width)
     even = lambda n, m: n - F.pmod(m - n, F.lit(2))
     r, c = even(col(rows), h), even(col(columns), w)
+
+    def strip(s: Column) -> Column:
+        y, x = (lambda i: F.floor(i / s["w"])), (lambda i: i % s["w"])
+        inside = lambda i: (y(i) >= s["y0"]) & (y(i) < s["y1"]) & (x(i) >= s["x0"]) & (x(i) < s["x1"])
+        return F.transform(s["a"], lambda v, i: F.when(inside(i), v).otherwise(F.lit(0.0)))
+
     y0, x0 = F.floor((h - r) / 2), F.floor((w - c) / 2)
-    inside = lambda i: (F.floor(i / w) >= y0) & (F.floor(i / w) < y0 + r) & ((i % w) >= x0) & ((i % w) < x0 + c)
-    return F.transform(a, lambda v, i: F.when(inside(i), v).otherwise(F.lit(0.0)))
+    return bind_fields(strip, a=doubles(data), w=w, y0=y0, y1=y0 + r, x0=x0, x1=x0 + c)
 
 
 def flip(data: ColumnLike, width: ColumnLike) -> Column:
     """The image turned left to right."""
-    a, w = col(data), col(width).cast("int")
-    return F.transform(sequence0(F.size(a)), lambda i: F.get(a, F.floor(i / w).cast("int") * w + (w - 1 - i % w)))
+    return flipped(data, width)
 
 
 def zoom_box(y: ColumnLike, x: ColumnLike, height: ColumnLike, width: ColumnLike, zoom: ColumnLike) -> Column:

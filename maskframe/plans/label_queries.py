@@ -78,9 +78,11 @@ def supervised_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.supervised_ids(_explained(spark, sf_dir))
 
 
-@query("known_negatives", f"WITH {_EXPLAIN_SQL} SELECT 'parts' AS dataset, model_id::INT AS model_id FROM model WHERE label IN ('MEDIUM', 'LARGE')")
+@query("known_negatives", f"WITH {_EXPLAIN_SQL} SELECT DISTINCT p_brand AS dataset, model_id::INT AS model_id FROM (SELECT p_brand, p_type FROM part GROUP BY ALL HAVING max(p_size) < 50) JOIN model ON label = p_type")
 def known_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.known_negatives(rows(spark, [("parts", "MEDIUM"), ("parts", "LARGE")], "dataset string, label string"), rows(spark, MODEL, "model_id int, label string"))
+    """Brands as datasets: types without a part of the largest size are known to be absent; two of them are in the model."""
+    absent = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("dataset"), F.col("p_type").alias("label")).agg(F.max("p_size").alias("largest")).where("largest < 50")
+    return labels.known_negatives(absent, rows(spark, MODEL, "model_id int, label string"))
 
 
 CANDIDATES = [
@@ -101,13 +103,24 @@ def eval_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("eval_set", "eval_label", "cand_idx", F.array_join("model_labels", ",").alias("model_labels"), F.array_join(F.transform("model_ids", lambda x: x.cast("string")), ",").alias("model_ids"))
 
 
-@query("rule_violations", "SELECT * FROM (VALUES ('nations', 'alias of an unknown label', 'ATLANTIS'), ('nations', 'identity alias', 'FRANCE'), ('nations', 'aliased and dropped', 'CHINA')) t(dataset, issue, detail) WHERE EXISTS (SELECT 1 FROM nation)")
+@query("rule_violations", """WITH n AS (SELECT r_name AS dataset, n_name AS name, n_nationkey AS k, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS id FROM nation JOIN region ON n_regionkey = r_regionkey),
+a AS (SELECT dataset, CASE WHEN k % 4 = 1 THEN name || ' II' ELSE name END AS name, CASE k % 4 WHEN 2 THEN name WHEN 3 THEN 'background' ELSE 'land' END AS label FROM n), d AS (SELECT dataset, CASE WHEN k % 6 = 5 THEN name || ' III' ELSE name END AS name FROM n WHERE k % 6 IN (0, 5))
+SELECT dataset, 'alias of an unknown label' AS issue, name AS detail FROM a WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.dataset = a.dataset AND n.name = a.name)
+UNION ALL SELECT dataset, 'drop of an unknown label', name FROM d WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.dataset = d.dataset AND n.name = d.name)
+UNION ALL SELECT dataset, 'alias of or to background', name FROM a WHERE label = 'background' UNION ALL SELECT dataset, 'identity alias', name FROM a WHERE label = name
+UNION ALL SELECT dataset, 'aliased and dropped', name FROM a WHERE EXISTS (SELECT 1 FROM d WHERE d.dataset = a.dataset AND d.name = a.name)
+UNION ALL SELECT dataset, 'known negative is stored', name FROM n WHERE k % 5 = 0""")
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").orderBy("n_nationkey").collect()]  # 25 nations
-    present = [n for n in ("FRANCE", "CHINA") if n in names]
-    stored = rows(spark, [("nations", k, n) for k, n in enumerate([labels.BACKGROUND, *names, *(n for n in ("FRANCE", "CHINA") if n not in present)])], "dataset string, native_id int, native_label string")
-    aliases = rows(spark, [("nations", "ATLANTIS", "SEA"), ("nations", "FRANCE", "FRANCE"), ("nations", "CHINA", "ASIA")], "dataset string, native_label string, label string")
-    return labels.rule_violations(stored, aliases, rows(spark, [("nations", "CHINA")], "dataset string, native_label string"))
+    """Regions as datasets with their nations as stored labels; rules made of the nations' keys break in every way."""
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = nations.select(F.col("r_name").alias("dataset"), F.col("n_name").alias("native_label"), F.col("n_nationkey").alias("k"))
+    ids = n.select("dataset", F.row_number().over(Window.partitionBy("dataset").orderBy("k")).alias("native_id"), "native_label")
+    stored = ids.unionByName(n.select("dataset").distinct().select("dataset", F.lit(0).alias("native_id"), F.lit(labels.BACKGROUND).alias("native_label")))
+    name, kind = F.col("native_label"), F.col("k") % 4
+    target = F.when(kind == 2, name).when(kind == 3, labels.BACKGROUND).otherwise("land")
+    aliases = n.select("dataset", F.when(kind == 1, F.concat(name, F.lit(" II"))).otherwise(name).alias("native_label"), target.alias("label"))
+    drops = n.where("k % 6 IN (0, 5)").select("dataset", F.when(F.col("k") % 6 == 5, F.concat(name, F.lit(" III"))).otherwise(name).alias("native_label"))
+    return labels.rule_violations(stored, aliases, drops, n.where("k % 5 = 0").select("dataset", name.alias("label")))
 
 
 @query("channel_projection", """WITH e AS (SELECT vec_id, unnest(range(1, 65)) AS k, embedding FROM embeddings),

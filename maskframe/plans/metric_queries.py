@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.operators import metrics, reporting
+from maskframe.operators import metrics, raster, reporting
 from maskframe.plans.catalog import query
 from maskframe.plans.tables import IMAGES_SQL, embedding_images, rows, table
 
@@ -85,6 +85,24 @@ def hd95(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.hd95(pairs.select("sample_id", F.lit(0).alias("class_id"), "p", "t", F.lit(8).alias("width"))).select("sample_id", F.round("score", 6).alias("score"))
 
 
+_SIDE = 256
+
+
+@query("hd95_images", f"""WITH o AS (SELECT o_orderkey // {_SIDE * _SIDE} AS image, o_orderkey % {_SIDE * _SIDE} AS px, o_totalprice AS v FROM orders),
+m AS (SELECT image, px // {_SIDE} AS y, px % {_SIDE} AS x, v > 485000 AS p FROM o WHERE v > 485000 OR v < 15000),
+s AS (SELECT * FROM m WHERE (SELECT count(*) FROM m b WHERE b.image = m.image AND b.p = m.p AND abs(b.y - m.y) + abs(b.x - m.x) = 1) < 4),
+d AS (SELECT u.image, u.p, u.y, u.x, min(sqrt((u.y - v.y) ** 2 + (u.x - v.x) ** 2)) AS d FROM s u JOIN s v ON v.image = u.image AND v.p <> u.p GROUP BY ALL),
+q AS (SELECT image, p, quantile_cont(d, 0.95) AS q FROM d GROUP BY ALL), n AS (SELECT image, count(DISTINCT p) AS n FROM m GROUP BY ALL)
+SELECT image AS sample_id, round(coalesce(max(q), CASE WHEN max(n.n) = 1 THEN sqrt(2.0 * {(_SIDE - 1) ** 2}) ELSE 0 END), 6) AS score FROM (SELECT DISTINCT image FROM o) LEFT JOIN q USING (image) LEFT JOIN n USING (image) GROUP BY ALL""")
+def hd95_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surface distance on images of real size: 65,536 order keys each, the dearest orders against the cheapest."""
+    pixel = (F.col("o_orderkey") % (_SIDE * _SIDE)).cast("int")
+    price = F.col("o_totalprice")
+    places = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / (_SIDE * _SIDE)).alias("sample_id")).agg(F.collect_list(F.when(price > 485000, pixel)).alias("p"), F.collect_list(F.when(price < 15000, pixel)).alias("t"))
+    masks = places.select("sample_id", F.lit(0).alias("class_id"), *(raster.from_places(c, F.lit(_SIDE * _SIDE)).alias(c) for c in "pt"), F.lit(_SIDE).alias("width"))
+    return metrics.hd95(masks).select("sample_id", F.round("score", 6).alias("score"))
+
+
 @query("bce_loss", IMAGES_SQL + """, l AS (SELECT vec_id, c, avg(greatest(p, 0) - p * t + ln(1 + exp(-abs(p)))) AS loss, sum(t) AS amount FROM px GROUP BY ALL),
 k AS (SELECT *, CASE WHEN amount > 0 OR c = 3 THEN 1.0 ELSE 0.0 END AS k0, max(CASE WHEN c > 0 THEN amount END) OVER (PARTITION BY vec_id) AS fg FROM l),
 j AS (SELECT *, CASE WHEN c = 0 AND fg > 0 THEN 0.0 ELSE k0 END AS keep FROM k)
@@ -155,13 +173,13 @@ def routing_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.routing_issues(datasets, rows(spark, [("O", "open"), ("F", "done"), ("X", "none")], "dataset string, profile string"), rows(spark, [("open",), ("done",)], "profile string"))
 
 
-@query("phase_metrics", """WITH r AS (SELECT l_returnflag AS dataset, 'discount' AS metric, l_discount AS value, l_quantity - 10 AS weight FROM lineitem WHERE l_quantity >= 10 UNION ALL SELECT l_returnflag, 'tax', l_tax, l_quantity - 10 FROM lineitem WHERE l_quantity >= 10)
+@query("phase_metrics", """WITH r AS (SELECT l_returnflag AS dataset, 'discount' AS metric, l_discount AS value, greatest(l_quantity - 10, 0) AS weight FROM lineitem UNION ALL SELECT l_returnflag, 'tax', l_tax, greatest(l_quantity - 10, 0) FROM lineitem)
 SELECT CASE WHEN grouping(dataset) = 1 THEN metric ELSE dataset || '/' || metric END AS key, metric, round(sum(value * weight) / sum(weight), 6) AS value FROM r WHERE weight <> 0 GROUP BY GROUPING SETS ((metric), (dataset, metric))""")
 def phase_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discount and tax as metrics of return flags, weighted by quantity above 10."""
-    facts = table(spark, sf_dir, "lineitem").where("l_quantity >= 10")
+    """Discount and tax as metrics of return flags, weighted by quantity above 10 (none: weight 0)."""
+    facts = table(spark, sf_dir, "lineitem")
     pair = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in (("discount", "l_discount"), ("tax", "l_tax")))))
-    records = facts.select(F.col("l_returnflag").alias("dataset"), (F.col("l_quantity") - 10).alias("weight"), pair.alias("m")).select("dataset", "weight", "m.metric", "m.value")
+    records = facts.select(F.col("l_returnflag").alias("dataset"), F.greatest(F.col("l_quantity") - 10, F.lit(0.0)).alias("weight"), pair.alias("m")).select("dataset", "weight", "m.metric", "m.value")
     return reporting.phase_means(records).withColumn("value", F.round("value", 6))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import normalise
 from maskframe.functions.arrays import doubles, total
-from maskframe.operators import raster, sampling
+from maskframe.operators import postprocess, raster, sampling
 from maskframe.plans.catalog import query
 from maskframe.plans.tables import table
 
@@ -40,12 +40,12 @@ def unit_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("standardize", """WITH q AS (SELECT l_orderkey, avg(l_extendedprice) AS m, coalesce(stddev_samp(l_extendedprice), 0) AS s FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, count(*) AS n, round(sum(abs((l_extendedprice - m) / (s + 1e-8))), 5) AS total FROM lineitem JOIN q USING (l_orderkey) WHERE s > 0 GROUP BY ALL""")
+SELECT l_orderkey, count(*) AS n, round(sum(abs((l_extendedprice - m) / (s + 1e-8))), 5) AS total FROM lineitem JOIN q USING (l_orderkey) GROUP BY ALL""")
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose prices differ (as the SQL has it); the operator gives 0 for the others."""
+    """An order's prices, 0 where there is no deviation."""
     v = normalise.scaled_in_group("l_extendedprice", ["l_orderkey"], "standardize")
     scaled = table(spark, sf_dir, "lineitem").select("l_orderkey", v.alias("x"))
-    return scaled.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("x")), 5).alias("total")).where("n > 1 AND total > 0.5")
+    return scaled.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("x")), 5).alias("total"))
 
 
 _PER_IMAGE = 65_536  # order keys of one image
@@ -118,6 +118,22 @@ def hip_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", total(kept).cast("long").alias("n"))
 
 
+_RULED = "CASE vec_id % 5 WHEN 0 THEN 'HipRay' WHEN 1 THEN 'MendeleyCXR' WHEN 2 THEN 'HipRay' WHEN 3 THEN 'Other' ELSE 'MendeleyCXR' END"
+
+
+@query("postprocess_rules", f"""WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS i, embedding FROM embeddings), px AS (SELECT vec_id, vec_id % 5 AS k, i // 16 AS c, i % 16 // 4 AS y, i % 4 AS x, embedding[i + 1]::DOUBLE AS p FROM e),
+n AS (SELECT *, CASE WHEN k = 0 AND c = 0 THEN (p > 0.15 AND NOT EXISTS (SELECT 1 FROM px f WHERE f.vec_id = px.vec_id AND f.c = 1 AND f.p > 0.15 AND (f.y - px.y) ** 2 + (f.x - px.x) ** 2 <= 16))::INT::DOUBLE
+  WHEN k IN (1, 4) AND c = 1 AND EXISTS (SELECT 1 FROM px f WHERE f.vec_id = px.vec_id AND f.c = 0 AND f.y = px.y AND f.x = px.x AND f.p > 0.15) THEN 0 ELSE p END AS q FROM px)
+SELECT vec_id, {_RULED} AS dataset, CASE k WHEN 2 THEN 'missing_labels' WHEN 3 THEN 'no_rule' ELSE 'applied' END AS status, round(sum(q), 6) AS total, round(sum(q) FILTER (c = 0), 6) AS first_channel FROM n GROUP BY ALL""")
+def postprocess_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as images of four channels of 4 x 4 pixels, each with the rule of its dataset."""
+    names = F.element_at(F.array(*(F.array(*map(F.lit, n)) for n in (["hips", "femurs"], ["liver", "lungs"], ["hips", "lungs"], ["hips", "femurs"], ["liver", "lungs"]))), (F.col("vec_id") % 5 + 1).cast("int"))
+    prob = F.array(*(F.slice("embedding", 16 * k + 1, 16).cast("array<double>") for k in range(4)))
+    images = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(_RULED).alias("dataset"), names.alias("label_names"), prob.alias("prob"), F.lit(4).alias("height"), F.lit(4).alias("width"))
+    out = postprocess.postprocess(images, threshold=0.15)
+    return out.select("vec_id", "dataset", "status", F.round(total(F.flatten("prob")), 6).alias("total"), F.round(total(F.get("prob", F.lit(0))), 6).alias("first_channel"))
+
+
 @query("top_components", """WITH m AS (SELECT *, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS top FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM m WHERE s_acctbal >= greatest(1, ceil(top * 0.05)))
 SELECT s_nationkey, s_suppkey, rank::INT AS rank FROM k WHERE rank <= 2""")
 def top_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +204,7 @@ SELECT label AS image, pixel::INT AS pixel, round(avg(p), 6) AS p FROM v GROUP B
 def merge_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings of one label as views of one image, those with odd ids flipped."""
     views = table(spark, sf_dir, "embeddings").select(F.col("label").alias("image"), F.lit(0).alias("channel"), (F.col("vec_id") % 2 == 1).alias("flipped"), F.lit(8).alias("width"), doubles("embedding").alias("p"))
-    return raster.merge_views(views).select("image", "pixel", F.round("p", 6).alias("p"))
+    return raster.merge_views(views).select("image", F.posexplode("p").alias("pixel", "p")).withColumn("p", F.round("p", 6))
 
 
 _U = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
@@ -204,12 +220,12 @@ def camera_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", "view_idx", F.round(F.get("rot", F.lit(0)), 6).alias("rot0"), F.round(F.get("xyz", F.lit(1)), 6).alias("y"), F.round("sdd", 6).alias("sdd"))
 
 
-@query("isocenters", f"""WITH c AS (SELECT c_nationkey AS s, c_custkey AS l FROM customer WHERE c_custkey % 20 = 0), o AS (SELECT s, l, row_number() OVER (PARTITION BY s ORDER BY {_U.format("'3:' || s || ':' || l")}, l) - 1 AS rank, count(*) OVER (PARTITION BY s) AS n FROM c),
+@query("isocenters", f"""WITH c AS (SELECT c_nationkey AS s, c_custkey AS l FROM customer), o AS (SELECT s, l, row_number() OVER (PARTITION BY s ORDER BY {_U.format("'3:' || s || ':' || l")}, l) - 1 AS rank, count(*) OVER (PARTITION BY s) AS n FROM c),
 v AS (SELECT DISTINCT s, n, unnest(range(0, 4)) AS k FROM o), w AS (SELECT s, k, CASE WHEN k < n THEN k ELSE floor(({_U.format("'3:' || s || ':' || k || ':again'")}) * n)::INT END AS rank FROM v)
 SELECT s::INT AS sample_id, k::INT AS view_idx, l AS label FROM w JOIN o USING (s, rank)""")
 def isocenters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four views of each nation, looking at every twentieth customer (as the SQL has it) without replacement first."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("sample_id"), F.col("c_custkey").alias("label"), *(F.lit(0.0).alias(x) for x in "ijk"))
+    """Four views of each nation, looking at its customers without replacement first."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("sample_id"), F.col("c_custkey").alias("label"), *(F.lit(0.0).alias(x) for x in "ijk"))
     return sampling.sample_isocenters(c, 4, 3).select("sample_id", "view_idx", "label")
 
 
