@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -27,9 +28,10 @@ def decode_npy(content: bytes) -> dict[str, np.ndarray]:
     return {"": loaded} if isinstance(loaded, np.ndarray) else {k: loaded[k] for k in loaded.files}
 
 
-def decode_nifti(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Array squeezed to three axes, affine (4 x 4) and spacing of a NIfTI-1 file, gzipped or not."""
-    raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def nifti_header(raw: bytes) -> dict[str, Any]:
+    """shape (squeezed to three axes), dtype, offset, slope, intercept, affine (4 x 4) and spacing from the start of a NIfTI-1 file."""
+    if len(raw) < 348:
+        raise ValueError("not a NIfTI-1 file")
     order = "<" if int.from_bytes(raw[:4], "little") == 348 else ">"
     if int(np.frombuffer(raw, order + "i4", 1)[0]) != 348 or raw[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("not a NIfTI-1 file")
@@ -39,14 +41,10 @@ def decode_nifti(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError(f"NIfTI data type {code}")
     pix = np.frombuffer(raw, order + "f4", 8, 76).astype(float)
     offset, slope, inter = np.frombuffer(raw, order + "f4", 3, 108)
-    shape = [int(n) for n in dim[1 : 1 + dim[0]]]
-    kind = np.dtype(order + NIFTI_TYPES[code])
-    data = np.frombuffer(raw, kind, int(np.prod(shape)), int(offset)).reshape(shape, order="F")
-    if slope not in (0.0, 1.0) or inter:
-        data = data.astype(float) * (slope or 1.0) + inter
-    while data.ndim > 3 and data.shape[-1] == 1:
-        data = data[..., 0]
-    if data.ndim != 3:
+    shape = tuple(int(n) for n in dim[1 : 1 + dim[0]])
+    while len(shape) > 3 and shape[-1] == 1:
+        shape = shape[:-1]
+    if len(shape) != 3:
         raise ValueError(f"shape {shape} has no three axes")
     qform, sform = np.frombuffer(raw, order + "i2", 2, 252)
     if sform > 0:
@@ -60,7 +58,17 @@ def decode_nifti(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         affine[:3, 3] = x, y, z
     else:
         affine = np.diag([*pix[1:4], 1.0])
-    return data, affine, pix[1:4]
+    return {"shape": shape, "dtype": np.dtype(order + NIFTI_TYPES[code]), "offset": int(offset), "slope": float(slope) or 1.0, "intercept": float(inter), "affine": affine, "spacing": pix[1:4]}
+
+
+def decode_nifti(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Array squeezed to three axes, affine (4 x 4) and spacing of a NIfTI-1 file, gzipped or not."""
+    raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    h = nifti_header(raw)
+    data = np.frombuffer(raw, h["dtype"], int(np.prod(h["shape"])), h["offset"]).reshape(h["shape"], order="F")
+    if h["slope"] != 1 or h["intercept"]:
+        data = data.astype(float) * h["slope"] + h["intercept"]
+    return data, h["affine"], h["spacing"]
 
 
 def _rows(path: str, content: bytes) -> Iterator[tuple]:
