@@ -28,14 +28,32 @@ def attributes(samples: DataFrame, dataset_name: str, dataset_type: str) -> Data
     ).select(F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(dataset_name).alias("dataset_name"), F.lit(dataset_type).alias("dataset_type"), "*")
 
 
-def write_package(samples: DataFrame, path: str, dataset_name: str, dataset_type: str = "xray", overwrite: bool = False) -> None:
-    """Write, check and move in a package; an existing one is replaced only with ``overwrite`` and if it is a package."""
-    spark = samples.sparkSession
+def check_target(spark: SparkSession, path: str, overwrite: bool) -> None:
+    """A target may be there only with ``overwrite``, and only if it is a package."""
     fs, target, hadoop = _fs(spark, path)
     if fs.exists(target) and not (overwrite and fs.exists(hadoop(path, "attrs"))):
         raise FileExistsError(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    fs, target, _ = _fs(spark, path)
+    if fs.exists(target):
+        fs.delete(target, True)
+
+
+def write_package(samples: DataFrame, path: str, dataset_name: str, dataset_type: str = "xray", overwrite: bool = False) -> None:
+    """Write, check and move in a package; an existing one is replaced only with ``overwrite`` and if it is a package."""
+    spark = samples.sparkSession
+    check_target(spark, path, overwrite)
     beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     samples.write.partitionBy("split").parquet(f"{beside}/samples")
+    move_in(spark, beside, path, dataset_name, dataset_type)
+
+
+def move_in(spark: SparkSession, beside: str, path: str, dataset_name: str, dataset_type: str) -> None:
+    """Add attributes to the samples of a folder, check them, and put the folder in the place of ``path``."""
+    fs, target, hadoop = _fs(spark, path)
     attributes(spark.read.parquet(f"{beside}/samples"), dataset_name, dataset_type).coalesce(1).write.json(f"{beside}/attrs")
     found = [r["issue"] for r in package_issues(spark, beside).limit(20).collect()]
     if found:
