@@ -210,7 +210,11 @@ def read_dicom(spark: SparkSession, path: str, recursive: bool = False, scaled:
     slope, intercept and MONOCHROME1 are applied and each image brought to [0, 1] over its own
     range; else ``data`` has the stored values, with slope and intercept beside them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).where(is_dicom()).select("path", "content")
+    return decoded_images(spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path), scaled)
+
+
+def decoded_images(files: DataFrame, scaled: bool = True) -> DataFrame:
+    """``read_dicom`` of files (path, content) that are rows already; others than DICOM files are left out."""
     names = [c.split()[0] for c in _DECODED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +226,7 @@ def read_dicom(spark: SparkSession, path: str, recursive: bool = False, scaled:
                     found = {"error": f"{type(e).__name__}: {e}"}
                 yield pd.DataFrame({n: pd.Series([found.get(n, p if n == "path" else None)], dtype=object) for n in names})
 
-    out = files.mapInPandas(run, _DECODED)
+    out = files.where(is_dicom()).select("path", "content").mapInPandas(run, _DECODED)
     if not scaled:
         return out
     return out.withColumn("data", F.when(F.col("data").isNotNull(), rescale_dicom("data", "slope", "intercept", "photometric"))).drop("slope", "intercept")

@@ -88,7 +88,11 @@ def read_arrays(spark: SparkSession, path: str, recursive: bool = False) -> Data
 
     Files that can't be decoded are rows with an error and no data.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", "content")
+    return decoded_arrays(spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path))
+
+
+def decoded_arrays(files: DataFrame) -> DataFrame:
+    """``read_arrays`` of files (path, content) that are rows already, of a stream for instance."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _DECODED.split(", ")]
@@ -100,7 +104,7 @@ def read_arrays(spark: SparkSession, path: str, recursive: bool = False) -> Data
                     found = [(p, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(found, columns=names)
 
-    return files.mapInPandas(run, _DECODED)
+    return files.select("path", "content").mapInPandas(run, _DECODED)
 
 
 def is_dicom(path: str = "path", content: str = "content") -> Column:
