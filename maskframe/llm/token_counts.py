@@ -9,8 +9,10 @@ whether it is over a limit, and where to cut it to fit a budget.  No tokens are
 from __future__ import annotations
 
 import operator
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +23,9 @@ from maskframe.llm.common import documents, kept, map_arrow, text_groups
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-#: Words of which each Python worker stores the counts; then it forgets all of them.
+#: Words of which each Python worker stores the counts, and bytes of these; then it forgets all of them.
 REMEMBERED = 200_000
+STORED_BYTES = 64 << 20
 #: Characters of texts that are split and counted together.
 GROUP_CHARS = 1_000_000
 
@@ -32,16 +35,18 @@ class _Stored(dict):
 
     def __init__(self, vocab: Vocabulary):
         super().__init__()
-        self.vocab = vocab
+        self.vocab, self.bytes = vocab, 0
 
     def learn(self, words: set[str]) -> None:
         """Store the words that are not known yet, all together."""
         new = list(words - self.keys())
-        if len(self) + len(new) > REMEMBERED:
+        if len(self) + len(new) > REMEMBERED or self.bytes > STORED_BYTES:
             self.clear()
-            new = list(words)
+            new, self.bytes = list(words), 0
         symbols = self.vocab.symbols
-        self.update(zip(new, self.vocab.automaton.prefix_counts([symbols(w) for w in new])))
+        counts = self.vocab.automaton.prefix_counts([symbols(w) for w in new])
+        self.update(zip(new, counts))
+        self.bytes += sum([c.nbytes if isinstance(c, np.ndarray) else len(c) for c in counts])
 
     def __missing__(self, word: str) -> bytes:
         self.learn({word})
@@ -71,17 +76,20 @@ class TokenCounter:
     def _plain(self, text: str) -> list[int]:
         """Tokens of each prefix (in characters) of a text whose special strings are plain text."""
         out, at, base = [0], 0, 0  # base: tokens of the words before the current one
-        run = run_base = 0  # where the white space before a place began, and the tokens up to there
+        run = run_base = run_byte = 0  # where the white space before a place began, the tokens up to there, and its bytes so far
+        blanks: bytes | np.ndarray = b""  # counts of all prefixes of that white space, as one word each
         for word in self.vocab.words(text):
             counts = self.stored[word]
             byte = 0
             for k, c in enumerate(word, 1):
                 byte += len(c.encode())
                 n = base + int(counts[byte])
-                if c.isspace():  # white space at the end of a prefix is one word
+                if c.isspace():  # white space at the end of a prefix is one word, a prefix of the whole run's
                     if at + k == 1 or not text[at + k - 2].isspace():
-                        run, run_base = at + k - 1, base
-                    n = run_base + self.of_word(text[run : at + k])
+                        run, run_base, run_byte = at + k - 1, base, 0
+                        blanks = self.stored[_BLANKS.match(text, run)[0]]
+                    run_byte += len(c.encode())
+                    n = run_base + int(blanks[run_byte])
                 elif k == 2 and word in ("'re", "'ve", "'ll"):
                     n = base + self.of_word("'") + self.of_word(c)
                 out.append(n)
@@ -143,10 +151,12 @@ class TokenCounter:
             best = max(k for k, n in enumerate(counts) if used + n <= budget)
             if best < end - at or end == len(text):
                 return at + best
-            end = min(len(text), end + 64)
+            end = min(len(text), at + 2 * (end - at) + 64)
 
 
 _MATCHED = operator.methodcaller("group")
+#: White space as ``str.isspace`` has it.
+_BLANKS = re.compile(r"\s+")
 
 
 def counter(content: str) -> TokenCounter:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -257,6 +258,25 @@ def test_prefix_counts(vocabularies):
             assert counter.fit(text, budget) == max(k for k, n in enumerate(want) if n <= budget)
 
 
+def test_prefix_counts_of_white_space(vocabularies):
+    content, tok = vocabularies["byte_bpe_50k.json"]
+    counter = token_counts.TokenCounter(bpe.Vocabulary(content))
+    rng = random.Random(8)
+    library = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    for text in [" " * 3000 + "word and " * 40, "a" + "\n" * 2000 + "\t" * 500 + "b  c", "".join(rng.choice(" \n\t\r\xa0\u3000") for _ in range(900)) + "x", " " * 700 + "<|endoftext|>" + " " * 700]:
+        counts = counter.prefix_counts(text)
+        assert len(counts) == len(text) + 1
+        for k in [*range(12), *(rng.randrange(len(text)) for _ in range(60)), len(text)]:
+            assert counts[k] == library(text[:k])
+    for text in (" " * 1_000_000, "\n" * 1_000_000, " \n\t" * 300_000, " " * 16_000 + "word and " * 600):
+        began = time.time()
+        assert counter.count(text) == library(text)
+        cut = counter.fit(text, 512)
+        assert library(text[:cut]) <= 512 < library(text[: cut + 1])
+        assert time.time() - began < 20  # 3 s alone, and most of it the library's
+    assert counter.stored.bytes < token_counts.STORED_BYTES + 8_000_000
+
+
 def test_bpe_codec(odd, texts, vocabularies):
     tok = vocabularies["word_bpe_49k.json"][1]
     got = by_id(bpe_codec.encode_documents(odd).collect())
