@@ -11,6 +11,7 @@ from math import gcd, lcm
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from maskframe.functions import yamltext
 from maskframe.functions.arrays import ColumnLike, col
 
 
@@ -50,28 +51,18 @@ def override(base: dict, dotted: dict) -> dict:
 
 
 def load_unique(text: str) -> dict:
-    """JSON settings in which a key that stands twice in a mapping is an error."""
-
-    def unique(pairs: list[tuple[str, object]]) -> dict:
-        out = dict(pairs)
-        if len(out) < len(pairs):
-            raise ValueError(f"keys stand twice: {sorted({k for k, _ in pairs if [x for x, _ in pairs].count(k) > 1})}")
-        return out
-
-    return json.loads(text, object_pairs_hook=unique)
+    """Settings in YAML (or JSON, which is YAML too) in which a key that stands twice in a mapping is an error."""
+    return yamltext.load(text, unique=True)
 
 
 def parse_overrides(texts: list[str]) -> dict:
-    """Dotted keys and values of KEY=VALUE texts: JSON values, anything else as it is written; the last of a key counts."""
+    """Dotted keys and values of KEY=VALUE texts, values in YAML (so ``lr=1e-3`` is text); the last of a key counts."""
     out = {}
     for text in texts:
         key, sign, value = text.partition("=")
         if not sign or not key.strip():
             raise ValueError(f"{text!r} is not KEY=VALUE")
-        try:
-            out[key.strip()] = load_unique(value)
-        except json.JSONDecodeError:
-            out[key.strip()] = value.strip()
+        out[key.strip()] = yamltext.load(value)
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskframe.functions import yamltext
 from maskframe.functions.arrays import ColumnLike, col, finite
 from maskframe.operators.raster import determinant
 
@@ -19,17 +20,33 @@ MANIFEST = T.StructType([T.StructField("dataset_name", T.StringType()), T.Struct
 
 
 def read_manifest(spark: SparkSession, path: str, root: str = "") -> DataFrame:
-    """Records of a JSON manifest {dataset_name?, modality?, records: [...]}, with ``pos``.
+    """Records of a manifest {dataset_name?, modality?, records: [...]}, or a bare list of records, with ``pos``.
 
-    Defaults of the manifest fill records without their own; relative payload paths start at ``root``.
+    The file is YAML unless its name ends with .json.  Defaults of the manifest fill records
+    without their own; relative payload paths start at ``root``.
     """
-    one = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    if path.lower().endswith(".json"):
+        one = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    else:
+        one = yaml_documents(spark, path, MANIFEST, "records")
     rows = one.select("dataset_name", "modality", F.posexplode("records").alias("pos", "r"))
     resolved = lambda c: F.when(F.col(c).startswith("/") | F.lit(root == ""), F.col(c)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.col(c))).alias(c)
     flat = rows.select(*(F.coalesce(f"r.{f.name}", f.name).alias(f.name) if f.name in ("dataset_name", "modality") else F.col(f"r.{f.name}").alias(f.name) for f in RECORD.fields), "pos")
     return flat.select(*(resolved(c) if c in ("image", "label") else F.col(c) for c in flat.columns))
 
 
+def yaml_documents(spark: SparkSession, path: str, schema: T.StructType, listed: str | None = None) -> DataFrame:
+    """The YAML files under a path as rows of a schema; one that can't be read raises, with its line.
+
+    listed: the field that the entries of a file go to which is a list at its top.
+    """
+    texts = spark.read.text(path, wholetext=True).select(yamltext.to_json("value").alias("y"))
+    body = F.when(F.col("y.error").isNotNull(), F.raise_error(F.concat(F.lit(f"{path}: "), F.col("y.error"))).cast("string")).otherwise(F.col("y.json"))
+    if listed is not None:
+        body = F.when(F.col("y.json").startswith("["), F.concat(F.lit(f'{{"{listed}": '), body, F.lit("}"))).otherwise(body)
+    return texts.select(F.from_json(body, schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
+
+
 def normalise_records(records: DataFrame) -> DataFrame:
     """Strings trimmed, empty optional ones null, label names taken from the metadata where absent."""
     optional = ("label", "split", "subject_id", "sample_id")

@@ -133,7 +133,7 @@ def test_settings_files():
     assert config.load_unique('{"a": {"b": 1}, "c": {"b": 2}}') == {"a": {"b": 1}, "c": {"b": 2}}
     with pytest.raises(ValueError, match="twice"):
         config.load_unique('{"a": {"b": 1, "b": 2}}')
-    assert config.parse_overrides(["a.b=1", "c=x=y", "d=[1, true]", "e=", "a.b=2"]) == {"a.b": 2, "c": "x=y", "d": [1, True], "e": ""}
+    assert config.parse_overrides(["a.b=1", "c=x=y", "d=[1, true]", "e=", "a.b=2", "lr=1e-3", "k=yes", "f=[a, b]", "g={h: 1.5}"]) == {"a.b": 2, "c": "x=y", "d": [1, True], "e": None, "lr": "1e-3", "k": True, "f": ["a", "b"], "g": {"h": 1.5}}
     for bad in ("a", "=1"):
         with pytest.raises(ValueError, match="KEY=VALUE"):
             config.parse_overrides([bad])
