@@ -2,32 +2,69 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from typing import NamedTuple
+
 import numpy as np
 
 
-def box_weights(n_in: int, n_out: int) -> np.ndarray:
-    """Rows of overlap of each output cell with the input cells, summing to 1 (area averaging)."""
-    edges = np.arange(n_out + 1) * n_in / n_out
-    lo, hi = edges[:-1, None], edges[1:, None]
-    cell = np.arange(n_in)[None, :]
-    w = np.clip(np.minimum(hi, cell + 1) - np.maximum(lo, cell), 0, None)
-    return w / w.sum(axis=1, keepdims=True)
+class Bands(NamedTuple):
+    """Resampling weights of one axis: output cell i is the sum of weights[i, k] * input[first[i] + k]."""
+
+    first: np.ndarray
+    weights: np.ndarray
+
+    def along_rows(self, image: np.ndarray) -> np.ndarray:
+        """The image with its rows resampled; the work is the output's size times the band's width."""
+        out = np.zeros((len(self.first), image.shape[1]))
+        for k in range(self.weights.shape[1]):
+            out += self.weights[:, k, None] * image[np.minimum(self.first + k, len(image) - 1)]
+        return out
 
 
-def triangle_weights(n_in: int, n_out: int) -> np.ndarray:
-    """Bilinear weights with support that grows when shrinking (antialiased)."""
+@lru_cache(maxsize=256)
+def bands(how: str, n_in: int, n_out: int, before: int = 0, content: int | None = None) -> Bands:
+    """Weights from an axis of ``n_in`` cells to ``n_out``; of the input only ``content`` cells from ``before`` on are there, the rest is 0.
+
+    area: input cells whose centre lies within an output cell count alike.  bilinear: a triangle
+    around the output cell's centre, as wide as the output cells when shrinking.  nearest: input
+    cell floor(i n_in / n_out).  Rows of area and bilinear sum to 1 over all ``n_in`` cells.
+    """
+    content = n_in - before if content is None else content
     scale = n_in / n_out
-    support = max(scale, 1.0)
-    centre = (np.arange(n_out) + 0.5) * scale
-    w = np.clip(1 - np.abs((np.arange(n_in)[None, :] + 0.5 - centre[:, None]) / support), 0, None)
-    return w / w.sum(axis=1, keepdims=True)
+    cell = np.arange(n_out)
+    if how == "nearest":
+        first = (cell * n_in) // n_out
+        weights = np.ones((n_out, 1))
+    else:
+        wide = max(scale, 1.0)
+        centre = (cell + 0.5) * scale
+        reach = wide * (0.5 if how == "area" else 1.0)
+        first = np.maximum(np.floor(centre - reach).astype(int), 0)
+        x = first[:, None] + np.arange(int(np.ceil(2 * reach)) + 2)[None, :]
+        away = (x + 0.5 - centre[:, None]) / wide
+        weights = np.clip(1 - np.abs(away), 0, None) if how == "bilinear" else ((away > -0.5) & (away <= 0.5)).astype(float)
+        weights[x >= n_in] = 0
+        weights /= weights.sum(axis=1, keepdims=True)
+    place = first[:, None] + np.arange(weights.shape[1])[None, :] - before
+    weights = np.where((place >= 0) & (place < content), weights, 0.0)
+    start = np.clip(first - before, 0, max(content - 1, 0))  # weights move with the part that is there
+    shift = start - (first - before)
+    k = np.arange(weights.shape[1])[None, :] + shift[:, None]
+    moved = np.where((k >= 0) & (k < weights.shape[1]), np.take_along_axis(weights, np.clip(k, 0, weights.shape[1] - 1), axis=1), 0.0)
+    used = np.flatnonzero(moved.any(axis=0))
+    moved = moved[:, : used[-1] + 1 if len(used) else 1]
+    return Bands(start, moved)
 
 
 def resize(image: np.ndarray, height: int, width: int, how: str) -> np.ndarray:
-    if how == "nearest":
-        return image[(np.arange(height) * image.shape[0]) // height][:, (np.arange(width) * image.shape[1]) // width]
-    weights = {"area": box_weights, "bilinear": triangle_weights}[how]
-    return weights(image.shape[0], height) @ image @ weights(image.shape[1], width).T
+    """area, bilinear (antialiased) or nearest."""
+    return resample(image, bands(how, image.shape[0], height), bands(how, image.shape[1], width))
+
+
+def resample(image: np.ndarray, rows: Bands, columns: Bands) -> np.ndarray:
+    """Both axes, columns first."""
+    return rows.along_rows(columns.along_rows(image.T).T)
 
 
 def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

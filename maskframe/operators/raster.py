@@ -137,19 +137,19 @@ def intrinsics(sdd: ColumnLike, delx: ColumnLike, dely: ColumnLike, x0: ColumnLi
 
 
 @F.pandas_udf(DOUBLES)
-def _dense(places: pd.Series, size: pd.Series) -> pd.Series:
+def _dense(places: pd.Series, values: pd.Series, size: pd.Series) -> pd.Series:
     out = []
-    for at, n in zip(places, size):
-        mask = np.zeros(int(n))
+    for at, value, n in zip(places, values, size):
+        raster = np.zeros(int(n))
         if at is not None and len(at):
-            mask[np.asarray(at, np.int64)] = 1
-        out.append(mask)
+            raster[np.asarray(at, np.int64)] = 1 if value is None else value
+        out.append(raster)
     return pd.Series(out)
 
 
-def from_places(places: ColumnLike, size: ColumnLike) -> Column:
-    """A 0/1 mask of ``size`` pixels that is 1 at these places; null places: none."""
-    return _dense(col(places).cast("array<long>"), col(size).cast("int"))
+def from_places(places: ColumnLike, size: ColumnLike, values: ColumnLike | None = None) -> Column:
+    """A raster of ``size`` pixels with these values (1 without any) at these places and 0 elsewhere; null places: none."""
+    return _dense(col(places).cast("array<long>"), F.lit(None).cast(DOUBLES) if values is None else doubles(values), col(size).cast("int"))
 
 
 # -- filters -----------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import normalise
 from maskframe.functions.arrays import doubles, total
-from maskframe.operators import postprocess, raster, sampling
+from maskframe.operators import postprocess, preprocess, raster, sampling
 from maskframe.plans.catalog import query
 from maskframe.plans.tables import table
 
@@ -134,6 +134,26 @@ def postprocess_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "dataset", "status", F.round(total(F.flatten("prob")), 6).alias("total"), F.round(total(F.get("prob", F.lit(0))), 6).alias("first_channel"))
 
 
+@query("prepared_images", """WITH o AS (SELECT o_orderkey // 64000 AS image, o_orderkey % 64000 AS px, o_totalprice / 500000 AS v FROM orders), p AS (SELECT image, px // 320 AS y, px % 320 AS x, v, (v > 0.5)::INT AS m FROM o),
+c AS (SELECT image, (y + 60) // 2 AS r, x // 2 AS c, sum(v) / 4 AS v FROM p GROUP BY ALL), s AS (SELECT image, round(sum(v), 4) AS total, round(sum(v * v), 4) AS squares FROM c GROUP BY ALL),
+k AS (SELECT image, count(*) FILTER (m = 1 AND y % 2 = 0 AND x % 2 = 0) AS canvas_mask, sum(CASE WHEN y % 2 = 0 AND x % 2 = 0 AND m = 1 THEN 4 ELSE 0 END)::BIGINT AS image_mask FROM p GROUP BY ALL)
+SELECT image, 60 AS pad_top, 0.5::DOUBLE AS scale, total, squares, canvas_mask, image_mask FROM s JOIN k USING (image)""")
+def prepared_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of 200 x 320 order keys padded to a square, averaged to 160 x 160, their masks taken along and brought back."""
+    o = table(spark, sf_dir, "orders")
+    place = (F.col("o_orderkey") % 64000).cast("int").alias("px")
+    sparse = o.groupBy(F.floor(F.col("o_orderkey") / 64000).alias("image")).agg(F.collect_list(F.struct(place, (F.col("o_totalprice") / 500000).alias("v"))).alias("cells"))
+    images = sparse.select("image", raster.from_places("cells.px", F.lit(64000), "cells.v").alias("data"), F.lit(200).alias("height"), F.lit(320).alias("width"))
+    images = images.withColumn("mask", F.transform("data", lambda x: F.when(x > 0.5, 1.0).otherwise(0.0)))
+    chain = preprocess.PackagePreprocessing.from_manifest({"intensity": "dtype_range", "pad_to_square": True, "output_size": [160, 160]})
+    out = chain.apply(images, "data", "mask").withColumn("back", preprocess.to_image("mask", "geometry"))
+    squares = F.aggregate("data", F.lit(0.0), lambda a, x: a + x * x)
+    return out.select(
+        "image", F.get("geometry.pad_before", F.lit(0)).alias("pad_top"), F.get("geometry.resize_scale", F.lit(0)).alias("scale"), F.round(total("data"), 4).alias("total"), F.round(squares, 4).alias("squares"),
+        total("mask").cast("long").alias("canvas_mask"), total("back").cast("long").alias("image_mask"),
+    )
+
+
 @query("top_components", """WITH m AS (SELECT *, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS top FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM m WHERE s_acctbal >= greatest(1, ceil(top * 0.05)))
 SELECT s_nationkey, s_suppkey, rank::INT AS rank FROM k WHERE rank <= 2""")
 def top_components(spark: SparkSession, sf_dir: str) -> DataFrame:
