@@ -67,44 +67,75 @@ def resample(image: np.ndarray, rows: Bands, columns: Bands) -> np.ndarray:
     return rows.along_rows(columns.along_rows(image.T).T)
 
 
-def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-connected components: labels from 1 by first pixel in row order (0 outside), and their sizes.
+class Runs(NamedTuple):
+    """Maximal runs of a 3-D mask along its last axis, in order: the line and the places each has, and its label."""
+
+    z: np.ndarray
+    y: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    label: np.ndarray
+
+
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 to n - 1 the smallest node of their component: roots are hooked to smaller ones, then paths halved."""
+    parent = np.arange(n)
+    while len(a):
+        low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
+        apart = low != high
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, high[apart], low[apart])
+        while True:
+            above = parent[parent]
+            if (above == parent).all():
+                break
+            parent = above
+    return parent
+
+
+def touching(y: np.ndarray, start: np.ndarray, end: np.ndarray, lines: np.ndarray, other: Runs, other_lines: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (run, run of ``other``) in neighbouring lines that touch, corners included; ``lines`` says in which line a partner lies."""
+    step = width + 2
+    lo = np.searchsorted(other_lines * step + other.end, lines * step + start, "left")
+    hi = np.searchsorted(other_lines * step + other.start, lines * step + end, "right")
+    many = np.maximum(hi - lo, 0)
+    first = np.repeat(np.arange(len(y)), many)
+    return first, np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
+
+
+def label_runs(mask: np.ndarray) -> Runs:
+    """Runs of a 3-D mask labelled by component (26 neighbours), from 1 by first voxel."""
+    depth, height, width = mask.shape
+    padded = np.zeros((depth, height, width + 2), np.int8)
+    padded[:, :, 1:-1] = mask
+    d = np.diff(padded, axis=2)
+    z, y, start = np.nonzero(d == 1)
+    end = np.nonzero(d == -1)[2]
+    runs = Runs(z, y, start, end, np.zeros(len(z), np.int64))
+    line = z * (height + 1) + y  # one line that is empty between slices: none wraps around
+    pairs = [touching(y, start, end, line - back, runs, line, width) for back in (1, height, height + 1, height + 2)]
+    root = connected(len(z), np.concatenate([p for p, _ in pairs]), np.concatenate([q for _, q in pairs]))
+    return runs._replace(label=np.unique(root, return_inverse=True)[1] + 1)
+
+
+def drawn(runs: Runs, shape: tuple[int, int, int], labels: np.ndarray | None = None) -> np.ndarray:
+    """The labels of runs as an array, 0 outside."""
+    edges = np.zeros((shape[0], shape[1], shape[2] + 1), np.int64)
+    value = runs.label if labels is None else labels
+    np.add.at(edges, (runs.z, runs.y, runs.start), value)
+    np.add.at(edges, (runs.z, runs.y, runs.end), -value)
+    return np.cumsum(edges, axis=2)[:, :, :-1]
+
+
+def run_sizes(runs: Runs) -> np.ndarray:
+    """Voxels of each label, from label 0 (0 voxels) on."""
+    return np.bincount(runs.label, weights=runs.end - runs.start, minlength=1).astype(np.int64)
 
-    Runs of each row are joined to touching runs of the row above by union-find.
-    """
-    h, w = mask.shape
-    padded = np.zeros((h, w + 2), np.int8)
-    padded[:, 1:-1] = mask
-    d = np.diff(padded, axis=1)
-    y0, x0 = np.nonzero(d == 1)
-    _, x1 = np.nonzero(d == -1)
-    parent = np.arange(len(y0))
-
-    def find(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    first = np.searchsorted(y0, np.arange(h + 1))
-    for y in range(1, h):
-        j, end = first[y - 1], first[y]
-        for k in range(first[y], first[y + 1]):
-            while j < end and x1[j] < x0[k]:
-                j += 1
-            i = j
-            while i < end and x0[i] <= x1[k]:
-                a, b = find(i), find(k)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                i += 1
-    roots = np.array([find(k) for k in range(len(y0))], np.int64)
-    names = {r: n for n, r in enumerate(dict.fromkeys(roots.tolist()), 1)}
-    out, sizes = np.zeros((h, w), np.int64), np.zeros(len(names) + 1, np.int64)
-    for k, r in enumerate(roots):
-        out[y0[k], x0[k] : x1[k]] = names[r]
-        sizes[names[r]] += x1[k] - x0[k]
-    return out, sizes
+
+def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """8-connected components: labels from 1 by first pixel in row order (0 outside), and their sizes."""
+    runs = label_runs(np.asarray(mask, bool)[None])
+    return drawn(runs, (1, *mask.shape))[0], run_sizes(runs)
 
 
 def largest_components(sizes: np.ndarray, limit: int, min_relative: float) -> list[int]:

@@ -62,7 +62,7 @@ def _check(*arrays: np.ndarray) -> None:
 
 
 def _frame(found: dict[tuple, list], by: list[str], data: str) -> pd.DataFrame:
-    out = pd.DataFrame(list(found), columns=by)
+    out = pd.DataFrame(list(found), columns=by, dtype=object)
     out[data] = pd.Series([a for a, _ in found.values()], dtype=object)
     out["n"] = [n for _, n in found.values()]
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import normalise
 from maskframe.functions.arrays import doubles, total
-from maskframe.operators import postprocess, preprocess, raster, sampling
+from maskframe.operators import postprocess, preprocess, raster, sampling, volume_labels
 from maskframe.plans.catalog import query
 from maskframe.plans.tables import table
 
@@ -154,6 +154,22 @@ def prepared_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("image_components", """WITH RECURSIVE o AS (SELECT o_orderkey // 65536 AS image, o_orderkey % 65536 // 256 AS y, o_orderkey % 256 AS x FROM orders WHERE o_totalprice > 450000),
+n AS (SELECT a.image, a.y * 256 + a.x AS a, b.y * 256 + b.x AS b FROM o a JOIN o b ON a.image = b.image AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1),
+r(image, px, root) AS (SELECT image, y * 256 + x, y * 256 + x FROM o UNION SELECT r.image, n.b, r.root FROM r JOIN n ON n.image = r.image AND n.a = r.px),
+c AS (SELECT image, px, min(root) AS root FROM r GROUP BY ALL), s AS (SELECT image, root, count(*) AS size FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY root) AS label FROM s)
+SELECT image, count(*) AS n, max(size) AS largest, sum(size * label)::BIGINT AS weighted FROM k GROUP BY ALL""")
+def image_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the dearest orders in images of 256 x 256 order keys, cut into strips of 16 rows."""
+    o = table(spark, sf_dir, "orders")
+    at = F.col("o_orderkey")
+    strips = o.groupBy(F.floor(at / 65536).alias("volume"), F.floor(at % 65536 / 4096).alias("slab")).agg(F.collect_list(F.when(F.col("o_totalprice") > 450000, at % 4096)).alias("places"))
+    slabs = strips.select("volume", "slab", F.lit(16).alias("depth"), F.lit(1).alias("height"), F.lit(256).alias("width"), raster.from_places("places", F.lit(4096)).alias("mask"))
+    labels, sizes = volume_labels.label_volumes(slabs)
+    drawn = labels.select("volume", F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted")).groupBy("volume").agg(F.sum("weighted").alias("weighted"))
+    return sizes.groupBy("volume").agg(F.count("*").alias("n"), F.max("size").alias("largest")).join(drawn, "volume").withColumnRenamed("volume", "image")
+
+
 @query("top_components", """WITH m AS (SELECT *, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS top FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM m WHERE s_acctbal >= greatest(1, ceil(top * 0.05)))
 SELECT s_nationkey, s_suppkey, rank::INT AS rank FROM k WHERE rank <= 2""")
 def top_components(spark: SparkSession, sf_dir: str) -> DataFrame:
