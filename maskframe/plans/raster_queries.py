@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import normalise
 from maskframe.functions.arrays import doubles, total
-from maskframe.operators import postprocess, preprocess, raster, sampling, volume_labels
+from maskframe.operators import augment, postprocess, preprocess, raster, sampling, volume_labels
 from maskframe.plans.catalog import query
 from maskframe.plans.tables import table
 
@@ -270,6 +270,24 @@ def intensity_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total(sampling.intensity_scale("embedding", -0.2, 0.2, 0.5, 9, "vec_id")), 6).alias("total"))
 
 
+_DRAW = lambda k, name, d: _U.format(f"'4:' || vec_id || ':{k}.{name}.{d}'")
+
+
+@query("augmented_images", f"""WITH d AS (SELECT vec_id, embedding, ({_DRAW(0, "RandomHorizontalFlip", "on")}) < 0.5 AS flip, ({_DRAW(1, "RandomIntensityScale", "on")}) < 0.5 AS scaled, -0.2 + 0.4 * ({_DRAW(1, "RandomIntensityScale", "factor")}) AS f,
+({_DRAW(2, "RandomInvert", "on")}) < 0.5 AS inverted, ({_DRAW(3, "RandomAspectCrop", "on")}) < 0.5 AS cropped, ({_DRAW(3, "RandomAspectCrop", "landscape")}) < 0.5 AS landscape, least(floor(2 * ({_DRAW(3, "RandomAspectCrop", "size")}))::INT, 1) AS u FROM embeddings),
+p AS (SELECT *, i // 8 AS y, CASE WHEN flip THEN 7 - i % 8 ELSE i % 8 END AS x, embedding[i + 1]::DOUBLE AS v FROM (SELECT *, unnest(range(0, 64)) AS i FROM d)),
+q AS (SELECT vec_id, y, x, v > 0 AS lit, CASE WHEN inverted THEN 1 - w ELSE w END AS w, cropped AND CASE WHEN landscape THEN y < 2 - u OR y >= 6 + u ELSE x < 2 - u OR x >= 6 + u END AS cut FROM (SELECT *, CASE WHEN scaled THEN v * (1 + f) ELSE v END AS w FROM p))
+SELECT vec_id, round(sum(CASE WHEN cut THEN 0 ELSE w * (8 * y + x + 1) END), 5) AS image, sum(CASE WHEN lit AND NOT cut THEN 8 * y + x + 1 ELSE 0 END)::BIGINT AS foreground, count(*) FILTER (cut OR NOT lit) AS background FROM q GROUP BY ALL""")
+def augmented_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 images with their positive pixels as label: flip, scale, inversion and strip, each by its draws."""
+    settings = {"RandomHorizontalFlip": {"p": 0.5}, "RandomIntensityScale": {"factors": 0.2, "prob": 0.5}, "RandomInvert": {"p": 0.5}, "RandomAspectCrop": {"height_range": [4, 6], "width_range": [4, 6], "p": 0.5}}
+    lit = lambda inside: F.transform("image", lambda x: F.when((x > 0) == inside, 1.0).otherwise(0.0))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", doubles("embedding").alias("image"), F.lit(8).alias("height"), F.lit(8).alias("width")).withColumn("label", F.array(lit(F.lit(False)), lit(F.lit(True))))
+    placed = lambda a: F.aggregate(F.transform(a, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    out = augment.augment(e, settings, 4, ["vec_id"])
+    return out.select("vec_id", F.round(placed("image"), 5).alias("image"), placed(F.get("label", F.lit(1))).cast("long").alias("foreground"), total(F.get("label", F.lit(0))).cast("long").alias("background"))
+
+
 @query("aspect_crop", "WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS i, embedding FROM embeddings) SELECT vec_id, round(sum(embedding[i + 1]::DOUBLE), 6) AS total FROM e WHERE i // 8 >= 2 AND i // 8 < 6 AND i % 8 >= 1 AND i % 8 < 7 GROUP BY ALL")
 def aspect_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 8 x 8 images, cut to the middle 5 (even: 4) rows and 6 columns."""
