@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 from fractions import Fraction
+from itertools import product
 from math import gcd, lcm
 
 from pyspark.sql import Column
@@ -117,3 +118,112 @@ def run_id(prefix: ColumnLike, nonce: ColumnLike, at: ColumnLike) -> Column:
 def is_plain_name(name: ColumnLike) -> Column:
     """A name that is no path: no separators, not a dot name."""
     return ~col(name).rlike(r"[/\\]") & ~col(name).isin("", ".", "..")
+
+
+# -- datasets and submissions -------------------------------------------------------------------------
+
+def dataset_modalities(data: dict | None) -> dict[str, str]:
+    """Dataset name to modality of {modality: {dataset: options}}; a name under two modalities is an error."""
+    found: dict[str, str] = {}
+    for modality, datasets in (data or {}).items():
+        if datasets is not None and not isinstance(datasets, dict):
+            raise TypeError(f"data.{modality} must be a mapping")
+        for name in map(str, datasets or {}):
+            if name in found:
+                raise ValueError(f"dataset {name!r} stands under {found[name]!r} and {modality!r}: names must differ over modalities")
+            found[name] = modality
+    return found
+
+
+def camera_profiles(names: set[str], settings: dict | None) -> dict[str, dict] | None:
+    """The camera profile of each CT dataset: its own options over the default ones.
+
+    The datasets listed must be just the configured ones, and all profiles must share the size of
+    their images and their number of views.  None without settings.
+    """
+    if settings is None:
+        return None
+    default, own = settings.get("default"), settings.get("datasets")
+    if not isinstance(default, dict) or not isinstance(own, dict):
+        raise ValueError("camera settings need the mappings default and datasets")
+    if set(own) != set(names):
+        raise ValueError(f"camera settings miss {sorted(set(names) - set(own))} and list {sorted(set(own) - set(names))} that are not configured")
+    profiles = {n: merge(default, own[n] or {}) for n in sorted(names)}
+    sizes = {}
+    for n, profile in profiles.items():
+        camera = profile.get("intrinsics_cfg") or {}
+        if "height" not in camera:
+            raise ValueError(f"the profile of {n} has no intrinsics_cfg.height")
+        sizes[n] = (int(camera["height"]), int(camera.get("width", camera["height"])))
+    views = {n: profile.get("num_views") for n, profile in profiles.items()}
+    for what, values in (("height and width", sizes), ("num_views", views)):
+        if len(set(values.values())) > 1:
+            raise ValueError(f"all profiles must share {what}: {values}")
+    return profiles
+
+
+def expand(base: dict, axes: dict | None) -> list[dict]:
+    """Every combination of dotted axes (lists; a scalar is one value) over a base, in product order.
+
+    ``experiment.seed_range`` n stands for the seeds from ``experiment.seed`` (of the axes, the base,
+    or 40) on.
+    """
+    axes = dict(axes or {})
+    if (count := axes.pop("experiment.seed_range", None)) is not None:
+        seed = axes.pop("experiment.seed", flatten(base).get("experiment.seed", 40))
+        if isinstance(seed, list) or int(count) <= 0:
+            raise ValueError("experiment.seed_range is a positive number beside one seed")
+        axes["experiment.seed"] = [int(seed) + k for k in range(int(count))]
+    values = [v if isinstance(v, list) else [v] for v in axes.values()]
+    return [override(base, dict(zip(axes, chosen))) for chosen in product(*values)]
+
+
+def without_inactive(config: dict) -> dict:
+    """Datasets whose sampling proportion is 0, taken out of data, camera profiles and loss routes."""
+    shares = (config.get("dataloader") or {}).get("proportions") or {}
+    inactive = {n for n, p in shares.items() if Fraction(str(p)) == 0}
+    if not inactive:
+        return config
+    active = lambda d: {k: v for k, v in d.items() if k not in inactive} if isinstance(d, dict) else d
+    out = dict(config)
+    if isinstance(out.get("data"), dict):
+        out["data"] = {m: active(d) for m, d in out["data"].items()}
+    for block, entry in (("drr_model", "datasets"), ("loss_func", "dataset_profiles")):
+        if isinstance(out.get(block), dict):
+            out[block] = {k: active(v) if k == entry else v for k, v in out[block].items()}
+    return out
+
+
+def submissions(bases: list[dict], experiment: dict, cluster: dict, log_root: str, explicit: dict | None = None, sweep: dict | None = None, validate: bool = True) -> list[dict]:
+    """The settings of every run of a submission, base by base and combination by combination.
+
+    Later ones win: a base, the experiment's literal values, its ``sweep`` and the given sweep axes,
+    the cluster's values, explicit dotted values.  An explicit value also takes the axes away that it
+    covers.  log.root is the group's folder unless the experiment or an explicit value sets it.  With
+    ``validate`` a placeholder "?" that is left is an error.
+    """
+    explicit = dict(explicit or {})
+    own = {k: v for k, v in experiment.items() if k not in ("group", "sweep")}
+    axes = experiment.get("sweep") or {}
+    if not isinstance(axes, dict):
+        raise ValueError("sweep must be a mapping of axes")
+    literal, axes = flatten(own), flatten(axes)
+    if (count := literal.pop("experiment.seed_range", None)) is not None:
+        axes.setdefault("experiment.seed_range", count)
+    axes |= sweep or {}
+    covered = lambda k: any(k == e or k.startswith(f"{e}.") for e in explicit)
+    literal, axes = ({k: v for k, v in d.items() if not covered(k)} for d in (literal, axes))
+    if "experiment.seed" in explicit:
+        axes.pop("experiment.seed_range", None)
+    rooted = any("log.root" in d for d in (literal, axes, flatten(override({}, explicit))))
+    out = []
+    for base in bases:
+        for config in expand(override(base, literal), axes):
+            config = override(merge(config, cluster), explicit)
+            if not rooted:
+                config = merge(config, {"log": {"root": log_root}})
+            config = without_inactive(config)
+            if validate and (left := missing(config)):
+                raise ValueError(f"values are missing: {left}")
+            out.append(config)
+    return out

@@ -55,6 +55,21 @@ def poses(views: DataFrame, rotation: list[tuple[float, float]], shift: list[tup
     return views.withColumn("rot", F.array(*(draw(f"r{k}", r) for k, r in enumerate(rotation)))).withColumn("xyz", F.array(draw("x", shift[0]), F.least(y, d), draw("z", shift[2]))).withColumn("sdd", F.greatest(y, d))
 
 
+def camera_requests(views: DataFrame, intrinsics: dict[str, float | tuple[float, float]], rotation: list[tuple[float, float]], shift: list[tuple[float, float]], seed: int, orthographic: float = 0.0) -> DataFrame:
+    """views(sample_id, view_idx) with all that a render needs: sdd, delx, dely, x0, y0, rot, xyz and whether it is orthographic.
+
+    An intrinsic is a number or a range that is drawn from for each view; dely without a value of
+    its own is delx.  The projection is drawn once for all views of a sample.
+    """
+    if missing := {"sdd", "delx"} - set(intrinsics):
+        raise ValueError(f"intrinsics lack {sorted(missing)}")
+    sdd = intrinsics["sdd"]
+    out = poses(views, rotation, shift, (float(sdd), float(sdd)) if isinstance(sdd, (int, float)) else sdd, seed)
+    draw = lambda name: scalar_or_range(intrinsics[name], seed, "sample_id", "view_idx", F.lit(name))
+    out = out.withColumn("delx", draw("delx")).withColumns({n: draw(n) if n in intrinsics else F.lit(0.0) for n in ("x0", "y0")})
+    return out.withColumns({"dely": draw("dely") if "dely" in intrinsics else F.col("delx"), "orthographic": bernoulli(orthographic, seed, "sample_id", F.lit("orthographic"))})
+
+
 def cycled_presets(views: DataFrame, presets: DataFrame, n_presets: int) -> DataFrame:
     """Views with presets(preset_idx, ...) taken in turn."""
     return views.withColumn("preset_idx", F.pmod("view_idx", F.lit(n_presets)).cast("int")).join(presets, "preset_idx")
