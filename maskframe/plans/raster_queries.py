@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.functions import normalise
+from maskframe.functions import normalise, yamltext
 from maskframe.functions.arrays import doubles, total
 from maskframe.operators import augment, postprocess, preprocess, raster, sampling, volume_labels
 from maskframe.plans.catalog import query
@@ -154,6 +154,13 @@ def prepared_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("o_orderkey")
+    dear = F.collect_list(F.when(F.col("o_totalprice") > 450000, at % 4096))
+    strips = table(spark, sf_dir, "orders").groupBy(F.floor(at / 65536).alias("volume"), F.floor(at % 65536 / 4096).alias("slab")).agg(dear.alias("places"))
+    return strips.select("volume", "slab", F.lit(16).alias("depth"), F.lit(1).alias("height"), F.lit(256).alias("width"), raster.from_places("places", F.lit(4096)).alias("mask"))
+
+
 @query("image_components", """WITH RECURSIVE o AS (SELECT o_orderkey // 65536 AS image, o_orderkey % 65536 // 256 AS y, o_orderkey % 256 AS x FROM orders WHERE o_totalprice > 450000),
 n AS (SELECT a.image, a.y * 256 + a.x AS a, b.y * 256 + b.x AS b FROM o a JOIN o b ON a.image = b.image AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1),
 r(image, px, root) AS (SELECT image, y * 256 + x, y * 256 + x FROM o UNION SELECT r.image, n.b, r.root FROM r JOIN n ON n.image = r.image AND n.a = r.px),
@@ -161,15 +168,41 @@ c AS (SELECT image, px, min(root) AS root FROM r GROUP BY ALL), s AS (SELECT ima
 SELECT image, count(*) AS n, max(size) AS largest, sum(size * label)::BIGINT AS weighted FROM k GROUP BY ALL""")
 def image_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of the dearest orders in images of 256 x 256 order keys, cut into strips of 16 rows."""
-    o = table(spark, sf_dir, "orders")
-    at = F.col("o_orderkey")
-    strips = o.groupBy(F.floor(at / 65536).alias("volume"), F.floor(at % 65536 / 4096).alias("slab")).agg(F.collect_list(F.when(F.col("o_totalprice") > 450000, at % 4096)).alias("places"))
-    slabs = strips.select("volume", "slab", F.lit(16).alias("depth"), F.lit(1).alias("height"), F.lit(256).alias("width"), raster.from_places("places", F.lit(4096)).alias("mask"))
-    labels, sizes = volume_labels.label_volumes(slabs)
+    labels, sizes = volume_labels.label_volumes(_strips(spark, sf_dir))
     drawn = labels.select("volume", F.aggregate("labels", F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted")).groupBy("volume").agg(F.sum("weighted").alias("weighted"))
     return sizes.groupBy("volume").agg(F.count("*").alias("n"), F.max("size").alias("largest")).join(drawn, "volume").withColumnRenamed("volume", "image")
 
 
+@query("largest_image_components", """WITH RECURSIVE o AS (SELECT o_orderkey // 65536 AS image, o_orderkey % 65536 // 256 AS y, o_orderkey % 256 AS x FROM orders WHERE o_totalprice > 450000),
+n AS (SELECT a.image, a.y * 256 + a.x AS a, b.y * 256 + b.x AS b FROM o a JOIN o b ON a.image = b.image AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1),
+r(image, px, root) AS (SELECT image, y * 256 + x, y * 256 + x FROM o UNION SELECT r.image, n.b, r.root FROM r JOIN n ON n.image = r.image AND n.a = r.px),
+c AS (SELECT image, px, min(root) AS root FROM r GROUP BY ALL), s AS (SELECT image, root, count(*) AS size, row_number() OVER (PARTITION BY image ORDER BY root) AS label FROM c GROUP BY image, root),
+k AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY size DESC, label) AS rank, max(size) OVER (PARTITION BY image) AS top FROM s)
+SELECT image, label, size, rank::INT AS rank FROM k WHERE size >= greatest(1, ceil(top * 0.5)) AND rank <= 3""")
+def largest_image_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the components of ``image_components`` the three largest of each image that reach half of its largest."""
+    sizes = volume_labels.label_volumes(_strips(spark, sf_dir))[1]
+    return raster.top_components(sizes, "volume", "size", "label", 3, 0.5).select(F.col("volume").alias("image"), "label", "size", "rank")
+
+
+@query("equalized_images", """WITH e AS (SELECT vec_id, unnest(embedding) AS x FROM embeddings), p AS (SELECT vec_id, least(greatest(floor(least(greatest(x, 0), 1)::FLOAT * 255::FLOAT), 0), 255)::INT AS bin FROM e),
+h AS (SELECT vec_id, bin, count(*) AS n FROM p GROUP BY ALL), b AS (SELECT vec_id, bin, coalesce(n, 0) AS n FROM (SELECT vec_id, unnest(range(0, 256))::INT AS bin FROM embeddings) LEFT JOIN h USING (vec_id, bin)),
+o AS (SELECT *, sum(greatest(n - 10, 0)) OVER (PARTITION BY vec_id) AS over FROM b), c AS (SELECT vec_id, bin, n, sum(least(n, 10) + over // 256 + (bin < over % 256)::INT) OVER (PARTITION BY vec_id ORDER BY bin) AS c FROM o)
+SELECT vec_id, round(sum(n * least(greatest(floor(c * 3.984375), 0), 255) / 255.0::DOUBLE), 4) AS total FROM c GROUP BY ALL""")
+def equalized_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 images, equalised in one tile whose bins are clipped at 10 pixels."""
+    x = raster.equalize(doubles("embedding"), F.lit(8), F.lit(8), 40.0, (1, 1))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total(x), 4).alias("total"))
+
+
+@query("normalised_prices", """WITH q AS (SELECT l_orderkey, quantile_cont(l_extendedprice, 0.1) AS a, quantile_cont(l_extendedprice, 0.8) AS b FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, count(*) AS n, round(sum((least(greatest(l_extendedprice, a), b) - a) / greatest(b - a, 0.5)), 6) AS total FROM lineitem JOIN q USING (l_orderkey) GROUP BY ALL""")
+def normalised_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's prices normalised as settings in YAML say."""
+    settings = yamltext.load("train:\n  normalization: {scheme: percentile_minmax, percentiles: [10, 80], eps: 0.5}\n")
+    return _summed(_prices(spark, sf_dir), normalise.normalised("v", settings))
+
+
 @query("top_components", """WITH m AS (SELECT *, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS top FROM supplier), k AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rank FROM m WHERE s_acctbal >= greatest(1, ceil(top * 0.05)))
 SELECT s_nationkey, s_suppkey, rank::INT AS rank FROM k WHERE rank <= 2""")
 def top_components(spark: SparkSession, sf_dir: str) -> DataFrame:
