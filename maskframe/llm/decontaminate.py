@@ -23,8 +23,8 @@ from maskframe.llm.common import cut, documents, kept, map_arrow
 
 #: Edits allowed, as a share of an item's normalised characters.
 ERROR_RATE = 0.05
-#: Items with fewer normalised characters have no error budget and must stand between word bounds.
-MIN_CHARS = 25
+#: The error rate allows items with fewer normalised characters no edit; they must stand between word bounds.
+MIN_CHARS = round(1 / ERROR_RATE)
 #: Benchmark text in one automaton, which bounds what is broadcast; more of it takes more passes.
 PASS_BYTES = 4_000_000
 
