@@ -3,7 +3,8 @@
 Patterns give the base spans.  Beyond them, strings of one character class are scanned with a
 sliding window: the counts of the characters in the window, and with them the Shannon entropy,
 are brought forward by one character in and one out.  Strings with a window above the class's
-threshold are secrets unless an allow-list pattern matches them or a base span covers them.
+threshold are secrets unless a base span covers them.  An allow-list pattern suppresses the windows
+within ``AROUND`` characters of its match, not those of the rest of a long string.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ CLASSES = {
     "hex_entropy": ("0123456789abcdef", "(?<![A-Za-z0-9+/_-])(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{16,}(?![A-Za-z0-9+/_-])", 16, 2.8),
     "base64_entropy": ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-", "(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}", 20, 3.6),
 }
-#: A string that one of these matches is no secret.
+#: What lies within AROUND characters of a match of one of these, in the same string, is no secret.
+AROUND = 100
 ALLOWED = [
     "(?i)example|sample|placeholder|changeme|dummy|lorem",
     "(?i)x{4,}|0{8,}|1234567|abcdefg|deadbeef",
@@ -136,9 +138,19 @@ def _entropy_spans(text: Column, name: str) -> Column:
 
     def judged(m: Column) -> Column:
         span = lambda first, last: F.struct((m["start"] + first).alias("start"), m["kind"].alias("kind"), (m["start"] + last).alias("end"))
-        return F.when(~m["hit"].rlike(allowed), _hot_range(F.lower(m["hit"]) if name.startswith("hex") else m["hit"], alphabet, window, bits, span))
+        return _hot_range(F.lower(m["hit"]) if name.startswith("hex") else m["hit"], alphabet, window, bits, span)
 
-    return F.when(text.rlike(pattern), F.filter(F.transform(_matches(text, pattern, kind), judged), lambda s: s.isNotNull())).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    strings = F.flatten(F.transform(_matches(text, pattern, kind), lambda m: F.when(m["hit"].rlike(allowed), _unsuppressed(m, allowed, window)).otherwise(F.array(m))))
+    return F.when(text.rlike(pattern), F.filter(F.transform(strings, judged), lambda s: s.isNotNull())).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+
+def _unsuppressed(m: Column, allowed: str, window: int) -> Column:
+    """The parts of a string that no allow-list match suppresses and that hold a window."""
+    near = _matches(m["hit"], allowed, 0)
+    begins = F.concat(F.array(F.lit(0)), F.transform(near, lambda x: x["end"] + AROUND))
+    ends = F.concat(F.transform(near, lambda x: x["start"] - AROUND), F.array(F.length(m["hit"])))
+    part = lambda a, b: F.when(b - a >= window, F.struct((m["start"] + a).alias("start"), m["kind"].alias("kind"), (m["start"] + b).alias("end"), F.substring(m["hit"], a + 1, b - a).alias("hit")))
+    return F.filter(F.zip_with(begins, ends, part), lambda x: x.isNotNull())
 
 
 def _apart(spans: Column, base: Column) -> Column:
