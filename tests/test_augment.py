@@ -10,7 +10,7 @@ from maskframe.operators import augment
 RNG = np.random.default_rng(12)
 SETTINGS = yamltext.load("""
 RandomHorizontalFlip: {module: kornia.augmentation, p: 0.5}
-RandomLabelZoom: {module: fxr, zoom_range: [1.1, 4.0], p: 0.5}
+RandomLabelZoom: {module: own.transforms, zoom_range: [1.1, 4.0], p: 0.5}
 RandomLetterDrop: {p: 0.5, min_size: 0.2, max_size: 0.5}
 RandomInvert: {p: 0.5}
 RandomClaheOrGamma: {clip_limit: [1.0, 2.0], gamma: [0.9, 1.1], gain: [0.9, 1.1], clahe_prob: 0.3, gamma_prob: 0.4}
