@@ -185,9 +185,10 @@ def weighted_draws(items: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     """draw, item: with replacement, in proportion to weights(item, weight), by inverse distribution.
 
     Cumulative weights are offsets of MD5 buckets plus running sums inside them; a draw looks up
-    its bucket among at most 4096, then its item within that bucket only.
+    its bucket among at most 4096, then its item within that bucket only.  A null item has a bucket
+    of its own after these.
     """
-    hashed = items.where("weight > 0").withColumn("_b", F.substring(F.md5(F.col("item").cast("string")), 1, 3))
+    hashed = items.where("weight > 0").withColumn("_b", F.coalesce(F.substring(F.md5(F.col("item").cast("string")), 1, 3), F.lit("null")))
     inside = F.sum("weight").over(Window.partitionBy("_b").orderBy("item").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     buckets = hashed.groupBy("_b").agg(F.sum("weight").alias("_w"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -195,7 +196,7 @@ def weighted_draws(items: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     total = buckets.agg(F.sum("_w").alias("_total"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     drawn = items.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(total)).withColumn("_x", u * F.col("_total"))  # total is one row
-    placed = drawn.join(F.broadcast(bounds), (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi")))  # at most 4096 rows
+    placed = drawn.join(F.broadcast(bounds), (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi")))  # at most 4097 rows
     ends = hashed.select("item", "_b", "weight", inside.alias("_end"))
     hit = placed.join(ends, "_b").where((F.col("_x") - F.col("_lo") < F.col("_end")) & (F.col("_x") - F.col("_lo") >= F.col("_end") - F.col("weight")))
     return hit.select("draw", "item")

@@ -130,7 +130,8 @@ c AS (SELECT item, sum(weight) OVER (ORDER BY substr(md5(item::VARCHAR), 1, 3),
 d AS (SELECT unnest(range(0, 2000)) AS draw), x AS (SELECT draw, ('0x' || substr(md5('5:' || draw), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * (SELECT any_value(total) FROM c) AS x FROM d)
 SELECT item, count(*) AS n FROM x JOIN c ON x < hi AND x >= hi - weight GROUP BY ALL""")
 def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), F.round("s_acctbal").cast("long").alias("weight"))
+    """Suppliers by their balances, rounded as DuckDB casts doubles: halves to even."""
+    items = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item"), F.rint("s_acctbal").cast("long").alias("weight"))
     return selection.weighted_draws(items, 2000, 5).groupBy("item").agg(F.count("*").alias("n"))
 
 

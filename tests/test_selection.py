@@ -1,9 +1,11 @@
 """Selection, splits, schedules and weights on literal cases."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from maskframe.operators import selection
+from maskframe.plans import catalog
 
 
 def test_filter_records(spark):
@@ -71,6 +73,17 @@ def test_draws_follow_weights(spark):
     assert sum(got.values()) == 4000 and set(got) == {"a", "b"} and 2850 < got["a"] < 3150
 
 
+@pytest.mark.parametrize("keys", ["k", "nullif(k, 7)"])
+def test_draws_equal_their_sql_on_halves_and_a_null_key(spark, tmp_path, keys):
+    source = f"SELECT {keys} AS s_suppkey, k - 2 + 0.5::DOUBLE AS s_acctbal FROM range(40) t(k)"
+    duckdb.sql(f"COPY ({source}) TO '{tmp_path}/supplier.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    want = {tuple(r) for r in con.sql(catalog.oracle_sql()["weighted_draws"]).fetchall()}
+    got = {tuple(r) for r in catalog.queries()["weighted_draws"](spark, str(tmp_path)).collect()}
+    assert got == want and sum(n for _, n in got) == 2000 and 2 not in dict(got)  # 0.5 counts as 0
+
+
 def test_index_of_concatenated_sources(spark):
     offsets = selection.composite_offsets(spark.createDataFrame([("a", 0, 3), ("b", 1, 2)], "source string, pos int, n long"))
     got = selection.locate_index(spark.createDataFrame([(0,), (4,), (-1,), (5,), (-6,)], "index long"), offsets)
